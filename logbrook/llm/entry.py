@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import packing, simhash
 from .shared import load
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file; the package that has them is installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file(), tag="op2")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), tag="op3")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_simhash_near_dedup]
+    found = [op2_packing, op3_simhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
