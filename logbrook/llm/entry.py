@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, simhash, warc
+from . import packing, quality, secrets, simhash, warc
 from .shared import load
 
 
@@ -29,13 +29,17 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"), tag="op5")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(load(spark, sf_dir, "documents"), tag="op7")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(load(spark, sf_dir, "documents"), path_col="doc_id", tag="op9")
     return secrets.digest(found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_packing, op3_simhash_near_dedup, op5_warc, op9_secret_scan]
+    found = [op2_packing, op3_simhash_near_dedup, op5_warc, op7_quality_rules, op9_secret_scan]
     return {f.__name__: f for f in found}
 
 
