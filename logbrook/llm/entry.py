@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, simhash, warc
+from . import licenses, packing, quality, secrets, simhash, warc
 from .shared import load
 
 
@@ -38,8 +38,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(load(spark, sf_dir, "documents"), tag="op10"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_packing, op3_simhash_near_dedup, op5_warc, op7_quality_rules, op9_secret_scan]
+    found = [op2_packing, op3_simhash_near_dedup, op5_warc, op7_quality_rules, op9_secret_scan, op10_license_scan]
     return {f.__name__: f for f in found}
 
 
