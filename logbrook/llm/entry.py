@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, secrets, simhash, warc
+from . import licenses, lines, packing, quality, secrets, simhash, warc
 from .shared import load
 
 
@@ -17,6 +17,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(load(spark, sf_dir, "documents"), tag="op1")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file(), tag="op2")
 
@@ -43,7 +47,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_packing, op3_simhash_near_dedup, op5_warc, op7_quality_rules, op9_secret_scan, op10_license_scan]
+    found = [op1_line_dedup, op2_packing, op3_simhash_near_dedup, op5_warc, op7_quality_rules, op9_secret_scan, op10_license_scan]
     return {f.__name__: f for f in found}
 
 
