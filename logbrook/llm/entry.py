@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lines, packing, quality, secrets, simhash, warc
+from . import ctw, licenses, lines, packing, quality, secrets, simhash, warc
 from .shared import load
 
 
@@ -33,6 +33,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"), tag="op5")
 
 
+def op6_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(load(spark, sf_dir, "documents"), tag="op6")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(load(spark, sf_dir, "documents"), tag="op7")
 
@@ -47,7 +51,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_packing, op3_simhash_near_dedup, op5_warc, op7_quality_rules, op9_secret_scan, op10_license_scan]
+    found = [op1_line_dedup, op2_packing, op3_simhash_near_dedup, op5_warc, op6_context_tree_score, op7_quality_rules, op9_secret_scan, op10_license_scan]
     return {f.__name__: f for f in found}
 
 
