@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, licenses, lines, packing, quality, secrets, simhash, warc
+from . import ctw, licenses, lines, neighbours, packing, quality, secrets, simhash, warc
 from .shared import load
 
 
@@ -29,6 +29,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), tag="op3")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(load(spark, sf_dir, "embeddings"), lambda id: id % 100 == 0, tag="op4")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"), tag="op5")
 
@@ -51,7 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_packing, op3_simhash_near_dedup, op5_warc, op6_context_tree_score, op7_quality_rules, op9_secret_scan, op10_license_scan]
+    found = [op1_line_dedup, op2_packing, op3_simhash_near_dedup, op4_nearest_neighbours, op5_warc, op6_context_tree_score, op7_quality_rules, op9_secret_scan, op10_license_scan]
     return {f.__name__: f for f in found}
 
 
