@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ctw, licenses, lines, neighbours, packing, quality, secrets, simhash, warc
+from . import ctw, licenses, lines, mixing, neighbours, packing, quality, secrets, simhash, warc
 from .shared import load
 
 
@@ -45,6 +46,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(load(spark, sf_dir, "documents"), tag="op7")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: posteriors over the domains, tokens, rate and copies."""
+    labels = mixing.label_domains(load(spark, sf_dir, "labels"))
+    mixed, domains = mixing.mix(load(spark, sf_dir, "documents"), labels, mixing.WEIGHTS, tag="op8")
+    posteriors = [F.get("mix_posteriors", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)]
+    return mixed.select("doc_id", *posteriors, F.col("mix_tokens").alias("n_tokens"), F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(load(spark, sf_dir, "documents"), path_col="doc_id", tag="op9")
     return secrets.digest(found)
@@ -55,7 +64,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_packing, op3_simhash_near_dedup, op4_nearest_neighbours, op5_warc, op6_context_tree_score, op7_quality_rules, op9_secret_scan, op10_license_scan]
+    found = [op1_line_dedup, op2_packing, op3_simhash_near_dedup, op4_nearest_neighbours, op5_warc, op6_context_tree_score, op7_quality_rules, op8_mixing, op9_secret_scan, op10_license_scan]
     return {f.__name__: f for f in found}
 
 

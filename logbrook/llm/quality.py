@@ -19,10 +19,10 @@ from .shared import NON_SPACE, SPACE, Scratch
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Standard deviations below which a coordinate's spread is not taken to fall: shares are zero in most texts.
-FLOORS = (0.35, 0.12, 0.2, 0.02, 0.06)
+FLOORS = (0.35, 0.12, 0.2, 0.012, 0.06, 0.08)
 DIM, STEPS, NEAREST, LEAST_GROUP = len(FLOORS), 3, 0.75, 50
-#: The median of chi-squared with 5 degrees of freedom (fixed value), and the rejection distance.
-MEDIAN_CHI2, CUT = 4.351, 60.0
+#: The median of chi-squared with 6 degrees of freedom (fixed value), and the rejection distance.
+MEDIAN_CHI2, CUT = 5.348, 45.0
 KEYS = ("its_lang", "its_source")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -58,13 +58,14 @@ def let(value: Column, body) -> Column:
 
 
 def counted(text: Column) -> Column:
-    """The struct of COUNTS and n_distinct, n_lines."""
+    """The struct of COUNTS and n_distinct, n_upper."""
     words = F.array_remove(F.split(text, SPACE + "+"), "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(NON_SPACE))
     symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
+    upper = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
     whole = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), repeated_words(w).cast("long").alias("n_repeat_words")))
     dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    return let(whole, lambda c: F.struct(c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), symbols.cast("long").alias("n_symbols"), dup.alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), c["n_distinct"].alias("n_distinct")))
+    return let(whole, lambda c: F.struct(c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), symbols.cast("long").alias("n_symbols"), dup.alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), c["n_distinct"].alias("n_distinct"), upper.cast("long").alias("n_upper")))
 
 
 def with_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str, columns: list[Column]) -> DataFrame:
@@ -72,7 +73,7 @@ def with_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str,
     rows = docs.select(*columns, F.coalesce(F.col(lang_col).cast("string"), F.lit("\x00")).alias(KEYS[0]), F.coalesce(F.col(source_col).cast("string"), F.lit("\x00")).alias(KEYS[1]), counted(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("its"))
     names = [c for c in rows.columns if c != "its"]
     n, failed = F.col("its.n_words"), (F.col("its.n_words") < LEAST_WORDS) | (100 * F.col("its.n_repeat_words") > MOST_REPEATED * F.col("its.n_words"))
-    xs = [F.log(n), F.log(F.col("its.word_chars") / n), F.log(F.col("its.n_distinct")), F.col("its.n_symbols") / F.col("its.word_chars"), F.col("its.n_repeat_words") / n]
+    xs = [F.log(n), F.log(F.col("its.word_chars") / n), F.log(F.col("its.n_distinct")), F.col("its.n_symbols") / F.col("its.word_chars"), F.col("its.n_repeat_words") / n, F.col("its.n_upper") / F.col("its.word_chars")]
     return rows.select(*names, *[F.col(f"its.{c}").alias(c) for c in COUNTS], failed.alias("base_failed"), *[F.when(~failed, x).alias(f"x{i}") for i, x in enumerate(xs)])
 
 

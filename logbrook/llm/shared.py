@@ -49,10 +49,20 @@ def delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Parquet tables in the shared folder, which cut lineage and outlive executors."""
 
+    #: Those made so far, by the part of the tag before "/".
+    made_for: dict[str, list[Scratch]] = {}
+
     def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.made_for.setdefault(tag.split("/")[0], []).append(self)
         self.spark, self.root = spark, f"{shared_dir(spark)}/logbrook/{tag}-{uuid.uuid4().hex[:12]}"
         self.made = 0
 
+    @classmethod
+    def clear_all(cls, owner: str) -> None:
+        """Remove the tables made for an owner whose results are all written."""
+        for scratch in cls.made_for.pop(owner, []):
+            scratch.clear()
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         return self.keep(df, name)[0]
 
