@@ -1 +1 @@
-
+"""Aggregations, file lifecycle and admission."""

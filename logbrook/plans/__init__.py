@@ -1 +1 @@
-
+"""The driver's queries and their SQL."""

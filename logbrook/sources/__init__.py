@@ -1 +1 @@
-
+"""Log files as tables and streams, and made-up inputs."""

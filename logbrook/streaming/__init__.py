@@ -1 +1 @@
-
+"""The continuous monitor."""
