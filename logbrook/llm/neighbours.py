@@ -27,10 +27,10 @@ def width(dim: int) -> int:
 
 
 def parts_for(rows: int, dim: int, bucket: int = BUCKET) -> int:
-    """Hashes that a table joins: the least number that leaves at most about `bucket` vectors in a bucket."""
+    """Hashes that a table joins: the number that brings the mean bucket, on a scale of powers, nearest to `bucket` vectors."""
     import math
 
-    return max(1, math.ceil(math.log(max(rows, 2) / bucket) / math.log(2 * width(dim)) - 1e-9)) if rows > bucket else 1
+    return max(1, round(math.log(max(rows / bucket, 1)) / math.log(2 * width(dim))))
 
 
 def rotated(vectors, seed: int):
