@@ -19,26 +19,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import let
-from .shared import SPACE, Scratch
+from .shared import Scratch
 
 #: Bound on the labelled rows that the classifier is fitted on (in expectation, chosen by a hash of their ids).
 SAMPLE = 50_000
 WORDS_PER_DOMAIN, LEAST_Z, LEAST_COUNT, LEAST_RATIO = 24, 5.0, 5, 3.0
-RIDGE, STEPS, TOLERANCE, SNAP = 0.01, 60, 1e-4, 0.05
+RIDGE, STEPS, TOLERANCE, SNAP = 0.01, 60, 1e-3, 0.05
 
 
 def features(text: Column) -> Column:
-    """Distinct lower-case words and marks for the text's shape (#name and level)."""
+    """Distinct lower-case words and marks for the text's shape (#name and level); classes are of ASCII, which is cheap."""
     level = lambda name, share: F.concat(F.lit(f"#{name}"), F.when(share < 0.02, "0").when(share < 0.1, "1").when(share < 0.3, "2").otherwise("3"))
     size = F.greatest(F.length(text), F.lit(1))
     others = lambda pattern: F.length(F.regexp_replace(text, pattern, "")) / size
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
-    again = let(words, lambda w: F.array_append(F.array_distinct(w), level("again", 1 - F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)) - 0.4)))
-    return F.concat(again, F.array(level("upper", others(r"\P{Lu}+")), level("sign", others(r"[\p{L}\p{N}\x20\x09-\x0D.,]+"))))
+    words = F.array_remove(F.split(F.lower(text), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), "")
+    again = let(words, lambda w: let(F.array_distinct(w), lambda d: F.array_append(d, level("again", 1 - F.size(d) / F.greatest(F.size(w), F.lit(1)) - 0.4))))
+    return F.concat(again, F.array(level("upper", others("[^A-Z]+")), level("sign", others(r"[^!-+\-/:-@\[-`{-~]+"))))
 
 
 def tokens(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, SPACE + "+"), "")).cast("long")
+    """One more than the text's spaces and line ends; none if it has nothing else."""
+    gaps = F.octet_length(text) - F.octet_length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
+    return F.when(gaps == F.octet_length(text), 0).otherwise(gaps + 1).cast("long")
 
 
 class Classifier:
@@ -63,7 +65,7 @@ class Classifier:
         return let(odds, lambda v: F.transform(v, lambda x: F.round(x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y), 3)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", domain_col: str = "domain", sample: int = SAMPLE) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", domain_col: str = "domain", sample: int = SAMPLE, tag: str = "mixing") -> Classifier:
     """A classifier from labels (id, domain). An id with several labels has the least; null ids and domains don't count."""
     named = labels.where(F.col(domain_col).isNotNull() & F.col(label_id).isNotNull())
     named = named.groupBy(F.col(label_id).alias("labelled")).agg(F.min(F.col(domain_col).cast("string")).alias("domain"))
@@ -72,7 +74,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # chosen is bounded by `sample` whatever the tables' sizes
     known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("labelled")).select("domain", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("its_text"))
     counts = known.select("domain", F.explode(F.array_append(features(F.col("its_text")), "#")).alias("feature")).groupBy("feature", "domain").agg(F.count("*").alias("n"))
-    sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    counts = Scratch(docs.sparkSession, tag).write(counts, "features")
+    sizes = {r["domain"]: r["n"] for r in counts.where("feature = '#'").collect()}  # one row for each domain
     domains = sorted(sizes)
     if len(domains) < 2:
         return Classifier(domains, [0.0] * len(domains), {})
@@ -104,7 +107,8 @@ class Rates:
         """The rates after all steps; extrapolated, the point at which the next gradient is taken."""
         if not self.steps:
             return F.lit(1.0)
-        steps = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in g]).alias("g"), F.lit(float(m)).alias("m")) for g, m in self.steps])
+        numbers = lambda g: ", ".join(f"{float(x)!r}D" for x in g)
+        steps = F.expr("array(" + ", ".join(f"named_struct('g', array({numbers(g)}), 'm', {numbers([m])})" for g, m in self.steps) + ")")  # one expression: quick to build
         start = F.struct(F.lit(1.0).alias("at"), F.lit(1.0).alias("r"))  # at: the extrapolated point
 
         def step(s: Column, x: Column) -> Column:
@@ -143,7 +147,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: s
     text has no tokens and rate 1 or less; without labels every rate is 1.
     """
     scratch = Scratch(docs.sparkSession, tag)
-    classifier = fit(docs, labels, id_col, text_col, label_id, domain_col, sample)
+    classifier = fit(docs, labels, id_col, text_col, label_id, domain_col, sample, tag)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     totals = docs.select(classifier.posteriors(text).alias("p"), tokens(text).alias("n")).groupBy("p").agg(F.sum("n").alias("tokens"))
     totals = scratch.write(totals, "totals")
