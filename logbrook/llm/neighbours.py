@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 BUCKET, NEAREST, SEED = 400, 10, 20240601
-#: (tables, probes) for one hash in a table, and for several: measured recall at 10 was 0.96 for both.
+#: (tables, probes) for one hash in a table, and for several. Recall at 10 on 10,256 vectors: 0.93 with (8, 8) and 0.99 with (8, 16); for two hashes 0.96 with (24, 96).
 ONE, SEVERAL = (8, 12), (24, 96)
 
 
