@@ -14,6 +14,7 @@ the distinct posteriors (rounded to three digits) with their token totals.
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from .shared import Scratch
 
 #: Bound on the labelled rows that the classifier is fitted on (in expectation, chosen by a hash of their ids).
 SAMPLE = 50_000
-WORDS_PER_DOMAIN, LEAST_Z, LEAST_COUNT, LEAST_RATIO = 24, 5.0, 5, 3.0
+LEAST_Z, LEAST_COUNT, LEAST_RATIO = 5.0, 5, 3.0
 RIDGE, STEPS, TOLERANCE, SNAP = 0.01, 60, 1e-3, 0.05
 
 
@@ -57,13 +58,24 @@ class Classifier:
             top = max(self.base)
             odds = F.array(*[F.lit(math.exp(b - top)) for b in self.base])
         else:
-            table = F.create_map(*[x for w, v in self.weights.items() for x in (F.lit(w), F.array(*[F.lit(y) for y in v]))])
-            here = F.transform(F.array_intersect(features(text), F.array(*[F.lit(w) for w in self.weights])), lambda w: F.element_at(table, w))
+            known, table, size = self._table()
+            here = F.transform(F.array_intersect(features(text), known), lambda w: F.element_at(F.get(table, F.pmod(F.crc32(w), F.lit(size)).cast("int")), w))
             zero = F.array(*[F.lit(b) for b in self.base])
             logs = F.aggregate(here, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
             odds = let(logs, lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))
         return let(odds, lambda v: F.transform(v, lambda x: F.round(x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y), 3)))
 
+    def _table(self) -> tuple[Column, Column, int]:
+        """The features, their weights in buckets by checksum (maps are searched from their start), and the number of buckets."""
+        size = 1 << len(self.weights).bit_length()
+        spell = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        pair = lambda w, v: f"{spell(w)}, array({', '.join(f'{float(x)!r}D' for x in v)})"
+        buckets = [[pair("", [0.0] * len(self.domains))] for _ in range(size)]  # no feature is empty
+        for w, v in self.weights.items():
+            buckets[zlib.crc32(w.encode()) % size].append(pair(w, v))
+        table = "array(" + ", ".join(f"map({', '.join(b)})" for b in buckets) + ")"
+        return F.expr(f"array({', '.join(map(spell, self.weights))})"), F.expr(table), size
+
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", domain_col: str = "domain", sample: int = SAMPLE, tag: str = "mixing") -> Classifier:
     """A classifier from labels (id, domain). An id with several labels has the least; null ids and domains don't count."""
@@ -86,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         inside, outside, mean = F.col(f"n{k}") / sizes[d], (F.col("all") - F.col(f"n{k}")) / (total - sizes[d]), F.col("all") / total
         z = (inside - outside) / F.sqrt(mean * (1 - mean) * (1 / sizes[d] + 1 / (total - sizes[d])) + 1e-12)
         best = wide.select("*", F.round(z, 6).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col(f"n{k}") >= LEAST_COUNT) & (inside >= LEAST_RATIO * outside))
-        for r in best.orderBy(F.desc("z"), "feature").limit(WORDS_PER_DOMAIN).collect():
+        for r in best.collect():  # all that are significant; the sample bounds them
             found[r["feature"]] = [r[f"n{i}"] for i in range(len(domains))]
     base = [math.log(sizes[d] / total) for d in domains]
     weights = {}

@@ -159,6 +159,21 @@ def test_mixing_drops_a_domain(spark):
     assert rows[9000].mix_tokens == 0 and rows[None].mix_copies == 1
 
 
+def test_mixing_finds_toxic_text_of_every_language(spark):
+    """Abuse of the rarer languages counts, however many words of the most frequent one are more significant."""
+    random.seed(10)
+    word = lambda lang, i: lang + "abcdefghij"[i // 10] + "abcdefghij"[i % 10]
+    abuse = {lang: [word(f"{lang}bad", i) for i in range(n)] for lang, n in (("en", 30), ("fr", 10), ("es", 10))}
+    lang = lambda k: "en" if k // 5 % 10 < 6 else "fr" if k // 5 % 10 < 8 else "es"
+    text = lambda k: " ".join(random.choices([word(lang(k), i) for i in range(100)], k=40) + (random.sample(abuse[lang(k)], 9 if lang(k) == "en" else 4) if k % 5 == 0 else []))
+    docs = documents(spark, [(i, text(i)) for i in range(1000)])
+    labels = spark.createDataFrame([(i, "bad" if i % 5 == 0 else "good") for i in range(1000)], "doc_id long, domain string")
+    df, _ = mixing.mix(docs, labels, {"good": 1.0})
+    copies = {r.doc_id: r.mix_copies for r in df.collect()}
+    recall = {x: np.mean([copies[k] == 0 for k in range(0, 1000, 5) if lang(k) == x]) for x in abuse}
+    assert min(recall.values()) == 1 and all(copies[k] == 1 for k in range(1000) if k % 5)
+
+
 def test_mixing_meets_targets(spark):
     df, domains = mixed(spark, weights={"good": 0.5, "bad": 0.5}, upsample=True)
     size = df.agg(F.sum("mix_tokens")).first()[0]
