@@ -150,16 +150,18 @@ def fit_rates(totals: DataFrame, targets: list[float], natural: list[float]) ->
     return rates
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", domain_col: str = "domain", upsample: bool = False, sample: int = SAMPLE, tag: str = "mixing") -> tuple[DataFrame, list[str]]:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", domain_col: str = "domain", upsample: bool = False, whole: tuple[str, ...] = (), learn: DataFrame | None = None, sample: int = SAMPLE, tag: str = "mixing") -> tuple[DataFrame, list[str]]:
     """docs with posteriors, n_tokens, rate and copies added (names prefixed mix_), and the domains' order.
 
     Targets are the weights (0 for a domain without one) times a token budget: all tokens, or without `upsample` the
-    most for which no domain is asked for more than it has. Rates within SNAP of a whole number are rounded to it;
+    most for which no domain is asked for more than it has. With domains named in `whole` these are asked for all that they
+    have, and the weights only bound the others, in proportion to them; so a rare domain takes nothing from those. The
+    classifier is fitted on `learn` if given, else on docs, of which a stage before may have taken most of a domain. Rates within SNAP of a whole number are rounded to it;
     copies are the rate, rounded up or down by a hash of id and text so that they are right in expectation. A null
     text has no tokens and rate 1 or less; without labels every rate is 1.
     """
     scratch = Scratch(docs.sparkSession, tag)
-    classifier = fit(docs, labels, id_col, text_col, label_id, domain_col, sample, tag)
+    classifier = fit(docs if learn is None else learn, labels, id_col, text_col, label_id, domain_col, sample, tag)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     totals = docs.select(classifier.posteriors(text).alias("p"), tokens(text).alias("n")).groupBy("p").agg(F.sum("n").alias("tokens"))
     totals = scratch.write(totals, "totals")
@@ -170,7 +172,11 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: s
     budget = natural[0] or 0
     if not upsample:
         budget = min([budget, *[(n or 0) / s for n, s in zip(natural[1:], share) if s]])
-    rates = fit_rates(totals, [s * budget for s in share], [n or 0.0 for n in natural[1:]]) if sum(wanted) else Rates(k)
+    targets = [s * budget for s in share]
+    if kept := [(n or 0.0, s) for d, n, s in zip(classifier.domains, natural[1:], share) if d in whole]:
+        budget = sum(n for n, _ in kept) / max(sum(s for _, s in kept), 1e-9)
+        targets = [n or 0.0 if d in whole else min(n or 0.0, s * budget) for d, n, s in zip(classifier.domains, natural[1:], share)]
+    rates = fit_rates(totals, targets, [n or 0.0 for n in natural[1:]]) if sum(wanted) else Rates(k)
     p = classifier.posteriors(text)
     rate = let(rates.of(F.col("mix_posteriors")), lambda r: F.when(F.abs(r - F.round(r)) <= SNAP, F.round(r)).otherwise(r))
     chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(1 << 30)) / float(1 << 30)
@@ -185,3 +191,5 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 #: Production weights: good and clean text, little of low quality, nothing toxic.
 WEIGHTS = {"q1t0": 0.97, "q0t0": 0.03}
+#: What the pipeline keeps whole.
+WHOLE = ("q1t0",)

@@ -183,6 +183,33 @@ def test_mixing_meets_targets(spark):
     assert df.agg(F.min("mix_rate")).first()[0] >= 0
 
 
+def test_mixing_keeps_whole_domains(spark):
+    """A domain that an earlier stage took nearly all of doesn't set the budget of those to keep whole, and is bounded where it abounds."""
+    weights = {"good": 0.97, "bad": 0.03}
+    for share, least, most in ((100, 0, 1), (2, 0, 0.1)):
+        docs, labels = [], []
+        for i in range(600):
+            bad = i % share == 0
+            docs.append((i, " ".join([f"common{'abcdefgh'[i * 7 % 8]}"] * 50 + (["scoundrel", "villain"] if bad else ["honest"]))))
+            labels.append((i, "bad" if bad else "good"))
+        df, _ = mixing.mix(documents(spark, docs), spark.createDataFrame(labels, "doc_id long, domain string"), weights, whole=("good",))
+        rate = {r.doc_id: (r.mix_rate, r.mix_copies) for r in df.collect()}
+        assert all(rate[i] == (1, 1) for i in range(600) if i % share)
+        assert least <= np.mean([rate[i][0] for i in range(0, 600, share)]) <= most
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_clean_documents_survive_quality_and_mixing(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.1"
+    labels = mixing.label_domains(spark.read.parquet(f"{sf}/labels.parquet")).where("domain = 'q1t0'")
+    docs = Scratch(spark, "test").write(P.quality_rules(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), "judged")
+    clean = {r.doc_id for r in docs.join(labels, "doc_id").collect()}
+    left = {r.doc_id for r in P.mix_sources(spark, docs, sf).select("doc_id").collect()}
+    assert len(clean) > 2500 and len(clean & left) >= 0.99 * len(clean)
+
+
 def test_rates_solve_the_least_squares(spark):
     """The fitted rates are near the minimum that plain gradient steps reach."""
     p = np.array([[1, 0, 0], [0, 1, 0], [0.3, 0.7, 0], [0.2, 0.2, 0.6]])
