@@ -47,6 +47,23 @@ def test_lines(spark):
     assert got == sorted(want, key=str)
 
 
+def test_lines_of_unlike_rows_without_or_with_one_id(spark):
+    """A line goes from the text that repeats it only, not from others under the same id."""
+    for i in (None, 4):
+        got = sorted(r.text for r in lines.dedup(documents(spark, [(i, "hello\ndup"), (i, "dup\nworld"), (i, "one\nof its own")])).collect())
+        assert sorted(x for t in got for x in t.split("\n")) == ["dup", "hello", "of its own", "one", "world"]
+
+
+def test_near_dedup_keeps_unlike_rows_without_or_with_one_id(spark):
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (5, text(2)), (5, text(3)), (6, text(3)), (9, text(0))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in P.near_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(9, text(0)), (None, text(1)), (5, text(2)), (5, text(3))], key=str)
+
+
 def test_line_signatures(spark):
     """SimHashes of lines of one and of several parts are those of a plain sum."""
     texts = [" ".join(f"v{i}" for i in range(n)) for n in (1, 7, 40, 3 * lines.PART + 5, lines.PART)]
