@@ -83,6 +83,14 @@ def test_similar_lines(spark):
     assert [r[0] for r in df.select(lines.similar("a", "b")).collect()] == [True, False, True, False, True, False]
 
 
+def test_similar_long_lines(spark):
+    """Up to 10,000 characters scattered edits count as edits, not by the shingles that they touch."""
+    words = [f"word{i}" for i in range(1000)]
+    edited = " ".join("changed" if i % 20 == 0 else w for i, w in enumerate(words))
+    df = spark.createDataFrame([(" ".join(words), edited)], "a string, b string")
+    assert 4000 < len(edited) <= 10_000 and df.select(lines.similar("a", "b")).first()[0]
+
+
 def nearest(rows, every):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     ids, x = np.array([i for i, _ in ok]), np.array([v for _, v in ok])
