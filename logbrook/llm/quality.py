@@ -6,6 +6,9 @@ from a start at the coordinates' medians and quartiles, concentration steps keep
 nearest to the centre and take their mean and covariance anew. Rows beyond CUT in squared Mahalanobis
 distance are rejected.
 
+A language and source with too few rows for an estimate is judged by that of its language over all sources,
+and if that has too few as well, by that of all rows.
+
 All that is gathered per group are counts on a fixed grid and sums of products, combined map-side, so a
 group with a third of all rows costs no task more than any other.
 """
@@ -24,6 +27,8 @@ DIM, STEPS, NEAREST, LEAST_GROUP = len(FLOORS), 3, 0.75, 50
 #: The median of chi-squared with 6 degrees of freedom (fixed value), and the rejection distance.
 MEDIAN_CHI2, CUT = 5.348, 45.0
 KEYS = ("its_lang", "its_source")
+#: Estimates are of a language and source (level 0), a language (1) and all rows (2); keys that don't apply are empty.
+LEVELS = ("level", *KEYS)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -108,43 +113,56 @@ def factored(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             moments = moments.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
-    return moments.select(*KEYS, "size", *[f"m{i}" for i in range(DIM)], *[f"l{i}{j}" for i in range(DIM) for j in range(i + 1)])
+    return moments.select(*LEVELS, "size", *[f"m{i}" for i in range(DIM)], *[f"l{i}{j}" for i in range(DIM) for j in range(i + 1)])
 
 
 def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per language and source with at least LEAST_GROUP rows: centre and Cholesky factor."""
-    points = rows.where(~F.col("base_failed")).select(*KEYS, *[f"x{i}" for i in range(DIM)])
-    each = points.select(*KEYS, F.posexplode(F.array(*[f"x{i}" for i in range(DIM)])).alias("axis", "x"))
-    start = quantiles(each, [*KEYS, "axis"], "x", 1 / 256, {"low": 0.25, "mid": 0.5, "high": 0.75}).where(F.col("size") >= LEAST_GROUP)
+    """One row per group of each level with at least LEAST_GROUP rows: centre and Cholesky factor."""
+    none = F.lit("")
+    groups = F.array(*[F.struct(F.lit(k).alias("level"), lang.alias(KEYS[0]), source.alias(KEYS[1])) for k, (lang, source) in enumerate(((F.col(KEYS[0]), F.col(KEYS[1])), (F.col(KEYS[0]), none), (none, none)))])
+    xs = [f"x{i}" for i in range(DIM)]
+    points = rows.where(~F.col("base_failed")).select(F.explode(groups).alias("group"), *xs).select("group.*", *xs)
+    each = points.select(*LEVELS, F.posexplode(F.array(*[f"x{i}" for i in range(DIM)])).alias("axis", "x"))
+    start = quantiles(each, [*LEVELS, "axis"], "x", 1 / 256, {"low": 0.25, "mid": 0.5, "high": 0.75}).where(F.col("size") >= LEAST_GROUP)
     spread = (F.col("high") - F.col("low")) / 1.349
     at = lambda i, c: F.max(F.when(F.col("axis") == i, c))
-    start = start.groupBy(*KEYS).agg(F.max("size").alias("size"), *[at(i, F.col("mid")).alias(f"m{i}") for i in range(DIM)], *[(at(i, spread * spread) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)])
+    start = start.groupBy(*LEVELS).agg(F.max("size").alias("size"), *[at(i, F.col("mid")).alias(f"m{i}") for i in range(DIM)], *[(at(i, spread * spread) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)])
     now = scratch.write(factored(start), "start")
     for step in range(STEPS + 1):
-        near = points.join(now, list(KEYS)).withColumn("d", F.log(distance() + 1e-6))
-        bounds = scratch.write(quantiles(near, list(KEYS), "d", 1 / 64, {"bound": NEAREST, "middle": 0.5}), "bounds")
+        near = points.join(now, list(LEVELS)).withColumn("d", F.log(distance() + 1e-6))
+        bounds = scratch.write(quantiles(near, list(LEVELS), "d", 1 / 64, {"bound": NEAREST, "middle": 0.5}), "bounds")
         if step == STEPS:  # the scale at which the middle distance is that of a normal distribution
             scale = F.sqrt(F.greatest(F.lit(1.0), F.exp("middle") / MEDIAN_CHI2))
-            last = now.join(bounds.select(*KEYS, scale.alias("scale")), list(KEYS))
-            return scratch.write(last.select(*KEYS, "size", *[f"m{i}" for i in range(DIM)], *[(F.col(f"l{i}{j}") * F.col("scale")).alias(f"l{i}{j}") for i in range(DIM) for j in range(i + 1)]), "estimates")
-        kept = near.join(bounds.select(*KEYS, "bound"), list(KEYS)).where("d <= bound")
-        sums = kept.groupBy(*KEYS).agg(F.max("size").alias("size"), F.count("*").alias("n"), *[F.sum(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"s{i}") for i in range(DIM)], *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIM)], *[F.sum((F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}"))).alias(f"p{i}{j}") for i in range(DIM) for j in range(i + 1)])
+            last = now.join(bounds.select(*LEVELS, scale.alias("scale")), list(LEVELS))
+            return scratch.write(last.select(*LEVELS, "size", *[f"m{i}" for i in range(DIM)], *[(F.col(f"l{i}{j}") * F.col("scale")).alias(f"l{i}{j}") for i in range(DIM) for j in range(i + 1)]), "estimates")
+        kept = near.join(bounds.select(*LEVELS, "bound"), list(LEVELS)).where("d <= bound")
+        sums = kept.groupBy(*LEVELS).agg(F.max("size").alias("size"), F.count("*").alias("n"), *[F.sum(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"s{i}") for i in range(DIM)], *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIM)], *[F.sum((F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}"))).alias(f"p{i}{j}") for i in range(DIM) for j in range(i + 1)])
         n = F.col("n")
-        moments = sums.select(*KEYS, "size", *[(F.col(f"m{i}") + F.col(f"s{i}") / n).alias(f"m{i}") for i in range(DIM)], *[(F.col(f"p{i}{j}") / n - F.col(f"s{i}") / n * (F.col(f"s{j}") / n)).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)])
+        moments = sums.select(*LEVELS, "size", *[(F.col(f"m{i}") + F.col(f"s{i}") / n).alias(f"m{i}") for i in range(DIM)], *[(F.col(f"p{i}{j}") / n - F.col(f"s{i}") / n * (F.col(f"s{j}") / n)).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)])
         now = scratch.write(factored(moments), "concentrated")
     raise AssertionError
 
 
+def resolved(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """For each language and source the estimate of the least level that has one; without any the group isn't in it."""
+    of = F.struct("level", *[c for c in found.columns if c not in LEVELS])
+    own, lang, every = (found.where(F.col("level") == k).select(*KEYS, of.alias(f"of{k}")) for k in range(3))
+    groups = rows.select(*KEYS).distinct().join(own, list(KEYS), "left").join(lang.drop(KEYS[1]), KEYS[0], "left").join(every.select("of2"), F.lit(True), "left")
+    return groups.select(*KEYS, F.coalesce("of0", "of1", "of2").alias("of")).select(*KEYS, "of.*").where("level IS NOT NULL")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = (), tag: str = "quality") -> DataFrame:
-    """One row per input row: doc_id, COUNTS, base_failed, kept, distance (null where not measured), and `carry`.
+    """One row per input row: doc_id, COUNTS, base_failed, kept, distance, and `carry`.
 
-    A null text has no words and fails; null languages and sources are groups of their own; in groups with
-    fewer than LEAST_GROUP rows the two rules alone decide. Repeated rows count as often as they come.
+    A null text has no words and fails; null languages and sources are groups of their own. Groups with fewer than
+    LEAST_GROUP rows are judged by their language's estimate, or that of all rows (the two rules alone decide only if
+    all rows are fewer); distance is that from the group's own estimate and null where it has none. Repeated rows count as often as they come.
     """
     scratch = Scratch(docs.sparkSession, tag)
     columns = [F.col(id_col).alias("its_id"), *[F.col(c).alias(f"carried_{c}") for c in carry]]
     rows = scratch.write(with_counts(docs, text_col, lang_col, source_col, columns), "counts")
-    found = estimates(rows, scratch)
-    judged = rows.join(found, list(KEYS), "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
+    found = scratch.write(resolved(rows, estimates(rows, scratch)), "resolved")
+    judged = rows.join(found, list(KEYS), "left").withColumn("far", F.when(~F.col("base_failed"), distance()))
+    kept = ~F.col("base_failed") & (F.coalesce("far", F.lit(0.0)) <= CUT)
+    judged = judged.withColumn("distance", F.when(F.col("level") == 0, F.col("far")))
     return judged.select(F.col("its_id").alias("doc_id"), *COUNTS, "base_failed", kept.alias("kept"), "distance", *[F.col(f"carried_{c}").alias(c) for c in carry if c != id_col])
