@@ -64,16 +64,69 @@ def test_near_dedup_keeps_unlike_rows_without_or_with_one_id(spark):
     assert got == sorted([(9, text(0)), (None, text(1)), (5, text(2)), (5, text(3))], key=str)
 
 
-def test_line_signatures(spark):
-    """SimHashes of lines of one and of several parts are those of a plain sum."""
-    texts = [" ".join(f"v{i}" for i in range(n)) for n in (1, 7, 40, 3 * lines.PART + 5, lines.PART)]
-    placed = lines.placed_lines(lines.raw_lines(documents(spark, list(enumerate(texts))), "doc_id", "text"))
-    got = {r.id: (r.n_words, r.sig) for r in placed.collect()}
-    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in texts[3].split()], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    for i, t in enumerate(texts):
-        h = np.array([hashes[w] for w in t.split()], np.int64).view(np.uint64)
-        bits = [2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h) for b in range(64)]
-        assert got[i][0] == len(h) and got[i][1] & ((1 << 64) - 1) == sum(1 << b for b in range(64) if bits[b])
+def test_block_simhash(spark):
+    """SimHashes of up to 16 hashes are those of a plain sum."""
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64) for n in range(2, 17) for _ in range(3)]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(sets)], "k int, h array<long>")
+    got = {r.k: r.sig & ((1 << 64) - 1) for r in df.select("k", lines.simhash(F.col("h")).alias("sig")).collect()}
+    for k, x in enumerate(sets):
+        u = x.view(np.uint64)
+        assert got[k] == sum(1 << b for b in range(64) if 2 * int(((u >> np.uint64(b)) & np.uint64(1)).sum()) > len(u))
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_limit_of_edits(spark):
+    """The limit by anchors is never under the edit distance, and at it for replaced words."""
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(300)]
+    pairs = []
+    for _ in range(60):
+        a = list(rng.choice(vocabulary, 30))
+        b = [w if rng.random() > 0.1 else str(rng.choice(vocabulary)) for w in a if rng.random() > 0.03]
+        pairs.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", lines.edits_at_most(F.col("a"), F.col("b")).alias("most")).collect()
+    known = [(r.most, distance(r.a, r.b)) for r in got if r.most is not None]
+    assert len(known) > 20 and all(most >= d for most, d in known) and np.mean([most <= d + 4 for most, d in known]) > 0.8
+
+
+def test_lines_against_all_pairs(spark):
+    """Of near lines, compared all with all, over 0.9 end up in one group, and no unlike ones do."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklm"), rng.integers(2, 11))) for _ in range(4000)]
+    rows = []
+    for k in range(40):
+        first = list(rng.choice(vocabulary, 40))
+        rows.append((k, " ".join(first)))
+        for j in range(2):
+            rows.append((100 * (j + 1) + k, " ".join(str(rng.choice(vocabulary)) if rng.random() < 0.08 else w for w in first)))
+    text = dict(rows)
+    near = {(i, j) for i in text for j in text if i < j and i % 100 == j % 100 and distance(text[i], text[j]) <= 0.2 * max(len(text[i]), len(text[j]))}
+    found = {r.doc_id: r.n_removed for r in lines.dedup(documents(spark, rows)).collect()}
+    assert all(found[k] == 0 for k in range(40))
+    with_near = {j for i, j in near if i < 100}
+    assert len(with_near) > 60 and np.mean([found[j] for j in with_near]) >= 0.9
+    assert all(not found[j] for j in text if j not in {x for pair in near for x in pair})
+
+
+def test_crowded_keys(spark, monkeypatch):
+    """Keys with many members, dealt to parts, give the same groups."""
+    monkeypatch.setattr(lines, "HOT", 8)
+    monkeypatch.setattr(lines, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(lines, "SALTS", 4)
+    words = [f"longword{i}" for i in range(30)]
+    rows = [(i, " ".join([*words[: i % 30], f"other{i}", *words[i % 30 + 1 :]])) for i in range(120)]
+    found = lines.dedup(documents(spark, rows)).collect()
+    assert sorted(r.n_removed for r in found) == [0] + [1] * 119
 
 
 def test_similar_lines(spark):
