@@ -49,7 +49,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: posteriors over the domains, tokens, rate and copies."""
     labels = mixing.label_domains(load(spark, sf_dir, "labels"))
-    mixed, domains = mixing.mix(load(spark, sf_dir, "documents"), labels, mixing.WEIGHTS, tag="op8")
+    mixed, domains = mixing.mix(load(spark, sf_dir, "documents"), labels, mixing.WEIGHTS, most=mixing.MOST, tag="op8")
     posteriors = [F.get("mix_posteriors", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)]
     return mixed.select("doc_id", *posteriors, F.col("mix_tokens").alias("n_tokens"), F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
 

@@ -1,14 +1,14 @@
 """Mixing documents of soft domains to target weights, in DataFrame operations only.
 
 A table of labelled documents teaches a classifier (Bernoulli naive Bayes on the words and shape marks that
-set a domain apart), which gives every document posteriors over the domains. Nonnegative document rates are then
+set a domain apart), which gives every document posteriors over the domains. Document rates from 0 to `most` are then
 fitted by accelerated projected gradient steps on
 
     1/2 sum_k (T_k - target_k)^2 / N_k + RIDGE/2 sum_d t_d (r_d - 1)^2,   T_k = sum_d r_d t_d p_dk,
 
 with t_d tokens, p_dk posteriors and N_k the domain's tokens at rate 1. A step needs the K sums T_k only. A document's rate after n steps
 follows from its posteriors and the n gradients, so rates are computed where documents lie, without a join; steps run over
-the distinct posteriors (rounded to three digits) with their token totals.
+the distinct posteriors (rounded to three digits) with their token totals. Texts are read once for the posteriors, which are written with the tokens.
 """
 
 from __future__ import annotations
@@ -25,17 +25,25 @@ from .shared import Scratch
 #: Bound on the labelled rows that the classifier is fitted on (in expectation, chosen by a hash of their ids).
 SAMPLE = 50_000
 LEAST_Z, LEAST_COUNT, LEAST_RATIO = 5.0, 5, 3.0
-RIDGE, STEPS, TOLERANCE, SNAP = 0.01, 60, 1e-3, 0.05
+RIDGE, STEPS, TOLERANCE = 0.001, 60, 2e-4
 
 
 def features(text: Column) -> Column:
     """Distinct lower-case words and marks for the text's shape (#name and level); classes are of ASCII, which is cheap."""
+    return let(words_of(text), lambda w: F.concat(F.array_remove(F.array_distinct(w), ""), marks(text, w)))
+
+
+def words_of(text: Column) -> Column:
+    return F.split(F.lower(text), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def marks(text: Column, words: Column) -> Column:
+    """How many of the characters are capitals and signs, and how many of the words are repeats."""
     level = lambda name, share: F.concat(F.lit(f"#{name}"), F.when(share < 0.02, "0").when(share < 0.1, "1").when(share < 0.3, "2").otherwise("3"))
     size = F.greatest(F.length(text), F.lit(1))
-    others = lambda pattern: F.length(F.regexp_replace(text, pattern, "")) / size
-    words = F.array_remove(F.split(F.lower(text), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), "")
-    again = let(words, lambda w: let(F.array_distinct(w), lambda d: F.array_append(d, level("again", 1 - F.size(d) / F.greatest(F.size(w), F.lit(1)) - 0.4))))
-    return F.concat(again, F.array(level("upper", others("[^A-Z]+")), level("sign", others(r"[^!-+\-/:-@\[-`{-~]+"))))
+    others = lambda pattern: (F.octet_length(text) - F.octet_length(F.regexp_replace(text, pattern, ""))) / size
+    again = let(F.size(words), lambda n: 1 - F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1)) - 0.4)
+    return F.array(level("again", again), level("upper", others("[A-Z]+")), level("sign", others(r"[!-+\-/:-@\[-`{-~]+")))
 
 
 def tokens(text: Column) -> Column:
@@ -59,7 +67,9 @@ class Classifier:
             odds = F.array(*[F.lit(math.exp(b - top)) for b in self.base])
         else:
             known, table, size = self._table()
-            here = F.transform(F.array_intersect(features(text), known), lambda w: F.element_at(F.get(table, F.pmod(F.crc32(w), F.lit(size)).cast("int")), w))
+            of = lambda w: F.element_at(F.get(table, F.pmod(F.crc32(w), F.lit(size)).cast("int")), w)
+            shape = lambda w: F.filter(marks(text, w), lambda m: F.array_contains(F.array(*[F.lit(x) for x in self.weights if x.startswith("#")] or [F.lit("")]), m))
+            here = let(words_of(text), lambda w: F.transform(F.concat(F.array_intersect(w, known), shape(w)), of))
             zero = F.array(*[F.lit(b) for b in self.base])
             logs = F.aggregate(here, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
             odds = let(logs, lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))
@@ -84,7 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, sample / max(1, named.count()))
     chosen = named.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < int(1_000_000 * share))
     # chosen is bounded by `sample` whatever the tables' sizes
-    known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("labelled")).select("domain", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("its_text"))
+    texts = docs.select(F.col(id_col).alias("its_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("its_text"))
+    known = texts.join(F.broadcast(chosen), F.col("its_id") == F.col("labelled")).select("domain", "its_text")
     counts = known.select("domain", F.explode(F.array_append(features(F.col("its_text")), "#")).alias("feature")).groupBy("feature", "domain").agg(F.count("*").alias("n"))
     counts = Scratch(docs.sparkSession, tag).write(counts, "features")
     sizes = {r["domain"]: r["n"] for r in counts.where("feature = '#'").collect()}  # one row for each domain
@@ -110,12 +121,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 class Rates:
-    """Document rates as a function of posteriors: the gradient steps taken so far."""
+    """Document rates as a function of posteriors: the gradient steps taken so far, from rate 1."""
 
-    def __init__(self, classes: int) -> None:
-        self.classes, self.steps = classes, []
+    def __init__(self, classes: int, most: float = 1.0) -> None:
+        self.classes, self.most, self.steps = classes, most, []
 
-    def of(self, p: Column, extrapolated: bool = False) -> Column:
+    def of(self, posteriors: Column, extrapolated: bool = False) -> Column:
         """The rates after all steps; extrapolated, the point at which the next gradient is taken."""
         if not self.steps:
             return F.lit(1.0)
@@ -123,23 +134,29 @@ class Rates:
         steps = F.expr("array(" + ", ".join(f"named_struct('g', array({numbers(g)}), 'm', {numbers([m])})" for g, m in self.steps) + ")")  # one expression: quick to build
         start = F.struct(F.lit(1.0).alias("at"), F.lit(1.0).alias("r"))  # at: the extrapolated point
 
-        def step(s: Column, x: Column) -> Column:
-            pull = F.aggregate(F.zip_with(p, x["g"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-            after = F.greatest(F.lit(0.0), s["at"] - (pull + RIDGE * (s["at"] - 1.0)) / (1.0 + RIDGE))
-            return let(after, lambda r: F.struct((r + x["m"] * (r - s["r"])).alias("at"), r.alias("r")))
+        def walk(p: Column) -> Column:
+            def step(s: Column, x: Column) -> Column:
+                pull = F.lit(0.0)
+                for k in range(self.classes):
+                    pull = pull + F.get(p, F.lit(k)) * F.get(x["g"], F.lit(k))
+                after = F.least(F.lit(self.most), F.greatest(F.lit(0.0), s["at"] - (pull + RIDGE * (s["at"] - 1.0)) / (1.0 + RIDGE)))
+                return let(after, lambda r: F.struct((r + x["m"] * (r - s["r"])).alias("at"), r.alias("r")))
 
-        return F.aggregate(steps, start, step)["at" if extrapolated else "r"]
+            return F.aggregate(steps, start, step)["at" if extrapolated else "r"]
 
+        return let(posteriors, walk)  # computed once, not at each step
 
-def fit_rates(totals: DataFrame, targets: list[float], natural: list[float]) -> Rates:
-    """Rates for totals (p, tokens) whose expected tokens per domain come nearest to the targets; natural: those at rate 1.
+
+def fit_rates(totals: DataFrame, targets: list[float], natural: list[float], most: float = 1.0) -> Rates:
+    """Rates up to `most` for totals (p, tokens) whose expected tokens per domain come nearest to the targets; natural: those at rate 1.
 
     In the metric of the documents' tokens a step of 1 / (1 + RIDGE) is safe, as posteriors sum to one.
     """
-    rates, k = Rates(len(targets)), len(targets)
+    rates, k = Rates(len(targets), most), len(targets)
     before, momentum = None, 1.0
     for _ in range(STEPS if k else 0):
-        sums = totals.select(*[(F.col("tokens") * rates.of(F.col("p"), extrapolated=True) * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(k)]).agg(*[F.sum(f"t{i}") for i in range(k)]).first()
+        sums = totals.select("p", "tokens", rates.of(F.col("p"), extrapolated=True).alias("rate"))
+        sums = sums.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(i))) for i in range(k)]).first()
         gradient = [round(((t or 0.0) - target) / max(n, 1.0), 9) for t, target, n in zip(sums, targets, natural)]
         after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         rates.steps.append((gradient, (momentum - 1) / after))
@@ -150,38 +167,51 @@ def fit_rates(totals: DataFrame, targets: list[float], natural: list[float]) ->
     return rates
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", domain_col: str = "domain", upsample: bool = False, whole: tuple[str, ...] = (), learn: DataFrame | None = None, sample: int = SAMPLE, tag: str = "mixing") -> tuple[DataFrame, list[str]]:
+def targets_for(natural: list[float], shares: list[float], total: float, most: float) -> list[float]:
+    """Tokens for each domain: its share of the total, but no more than `most` times what it has; what scarce domains can't give goes to the others."""
+    wanted, left = [0.0] * len(natural), {k for k, s in enumerate(shares) if s > 0}
+    while left:
+        rest = total - sum(wanted)
+        scale = rest / sum(shares[k] for k in left)
+        scarce = {k for k in left if shares[k] * scale > most * natural[k]}
+        for k in scarce or left:
+            wanted[k] = most * natural[k] if scarce else shares[k] * scale
+        left = left - scarce if scarce else set()
+    return wanted
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", domain_col: str = "domain", most: float = 1.0, total: float | None = None, whole: tuple[str, ...] = (), learn: DataFrame | None = None, sample: int = SAMPLE, tag: str = "mixing") -> tuple[DataFrame, list[str]]:
     """docs with posteriors, n_tokens, rate and copies added (names prefixed mix_), and the domains' order.
 
-    Targets are the weights (0 for a domain without one) times a token budget: all tokens, or without `upsample` the
-    most for which no domain is asked for more than it has. With domains named in `whole` these are asked for all that they
-    have, and the weights only bound the others, in proportion to them; so a rare domain takes nothing from those. The
-    classifier is fitted on `learn` if given, else on docs, of which a stage before may have taken most of a domain. Rates within SNAP of a whole number are rounded to it;
-    copies are the rate, rounded up or down by a hash of id and text so that they are right in expectation. A null
-    text has no tokens and rate 1 or less; without labels every rate is 1.
+    Targets are the weights (0 for a domain without one) times `total`, by default the tokens of the domains with a
+    weight. Rates go up to `most`; a domain that hasn't its share even at that rate gives all it has and the others the rest in
+    proportion, so a scarce domain never shrinks the whole. With domains named in `whole` these are asked for all that they
+    have, and the weights only bound the others, in proportion to them. The
+    classifier is fitted on `learn` if given, else on docs, of which a stage before may have taken most of a domain.
+    Copies are the rate, rounded up or down by a hash of id and text so that they are right in expectation. A null or empty
+    text has no tokens and a rate by its posteriors; without labels every rate is 1; repeated rows are rated alike; an empty table
+    gives no rows. Columns of docs other than mix_* may have any names.
     """
     scratch = Scratch(docs.sparkSession, tag)
     classifier = fit(docs if learn is None else learn, labels, id_col, text_col, label_id, domain_col, sample, tag)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    totals = docs.select(classifier.posteriors(text).alias("p"), tokens(text).alias("n")).groupBy("p").agg(F.sum("n").alias("tokens"))
-    totals = scratch.write(totals, "totals")
+    mixed = docs.select("*", classifier.posteriors(text).alias("mix_posteriors"), tokens(text).alias("mix_tokens"), (F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(1 << 30)) / float(1 << 30)).alias("mix_chance"))
+    mixed = scratch.write(mixed, "posteriors")
+    totals = scratch.write(mixed.groupBy(F.col("mix_posteriors").alias("p")).agg(F.sum("mix_tokens").alias("tokens")), "totals")
     k = len(classifier.domains)
-    natural = totals.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(k)]).first()
+    sums = totals.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(k)]).first() if k else []
+    natural = [n or 0.0 for n in sums]
     wanted = [max(0.0, weights.get(d, 0.0)) for d in classifier.domains]
     share = [w / sum(wanted) for w in wanted] if sum(wanted) else wanted
-    budget = natural[0] or 0
-    if not upsample:
-        budget = min([budget, *[(n or 0) / s for n, s in zip(natural[1:], share) if s]])
-    targets = [s * budget for s in share]
-    if kept := [(n or 0.0, s) for d, n, s in zip(classifier.domains, natural[1:], share) if d in whole]:
+    kept = [(n, s) for d, n, s in zip(classifier.domains, natural, share) if d in whole]
+    if kept:
         budget = sum(n for n, _ in kept) / max(sum(s for _, s in kept), 1e-9)
-        targets = [n or 0.0 if d in whole else min(n or 0.0, s * budget) for d, n, s in zip(classifier.domains, natural[1:], share)]
-    rates = fit_rates(totals, targets, [n or 0.0 for n in natural[1:]]) if sum(wanted) else Rates(k)
-    p = classifier.posteriors(text)
-    rate = let(rates.of(F.col("mix_posteriors")), lambda r: F.when(F.abs(r - F.round(r)) <= SNAP, F.round(r)).otherwise(r))
-    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(1 << 30)) / float(1 << 30)
-    mixed = docs.select("*", p.alias("mix_posteriors"), tokens(text).alias("mix_tokens")).select("*", rate.alias("mix_rate"))
-    return mixed.select("*", F.floor(F.col("mix_rate") + chance).cast("int").alias("mix_copies")), classifier.domains
+        targets = [n if d in whole else min(n, s * budget) for d, n, s in zip(classifier.domains, natural, share)]
+    else:
+        targets = targets_for(natural, share, sum(n for n, s in zip(natural, share) if s) if total is None else total, most)
+    rates = fit_rates(totals, targets, natural, most) if sum(wanted) else Rates(k)
+    mixed = mixed.select("*", rates.of(F.col("mix_posteriors")).alias("mix_rate"))
+    return mixed.select("*", F.floor(F.col("mix_rate") + F.col("mix_chance")).cast("int").alias("mix_copies")).drop("mix_chance"), classifier.domains
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -189,7 +219,7 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), F.concat(F.lit("q"), F.col("quality"), F.lit("t"), F.col("toxic"))).alias("domain"))
 
 
-#: Production weights: good and clean text, little of low quality, nothing toxic.
-WEIGHTS = {"q1t0": 0.97, "q0t0": 0.03}
+#: Production weights: good and clean text, little of low quality, nothing toxic; a scarce domain is repeated up to four times.
+WEIGHTS, MOST = {"q1t0": 0.97, "q0t0": 0.03}, 4.0
 #: What the pipeline keeps whole.
 WHOLE = ("q1t0",)

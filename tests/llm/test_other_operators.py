@@ -253,7 +253,7 @@ def test_mixing_finds_toxic_text_of_every_language(spark):
 
 
 def test_mixing_meets_targets(spark):
-    df, domains = mixed(spark, weights={"good": 0.5, "bad": 0.5}, upsample=True)
+    df, domains = mixed(spark, weights={"good": 0.5, "bad": 0.5}, most=10.0)
     size = df.agg(F.sum("mix_tokens")).first()[0]
     for k in range(2):
         got = df.agg(F.sum(F.col("mix_tokens") * F.col("mix_rate") * F.get("mix_posteriors", F.lit(k)))).first()[0]
@@ -288,6 +288,25 @@ def test_clean_documents_survive_quality_and_mixing(spark):
     assert len(clean) > 2500 and len(clean & left) >= 0.99 * len(clean)
 
 
+def test_scarce_domain_and_clashing_names(spark):
+    """A domain with one labelled document takes nothing from the others; columns of any names come through."""
+    docs = documents(spark, [(i, " ".join([f"common{'abcdefgh'[i * 7 % 8]}"] * 40 + ["honest"])) for i in range(300)]).withColumns({c: F.lit(1) for c in ("domain", "labelled", "its_text", "feature", "p", "rate")})
+    labels = spark.createDataFrame([(i, "bad" if i == 9 else "good") for i in range(300)], "doc_id long, domain string")
+    df, domains = mixing.mix(docs, labels, {"good": 0.5, "bad": 0.5}, most=2.0)
+    assert set(docs.columns) < set(df.columns) and domains == ["bad", "good"]
+    totals = [df.agg(F.sum(F.col("mix_tokens") * F.col("mix_rate") * F.get("mix_posteriors", F.lit(k)))).first()[0] for k in range(2)]
+    natural = [df.agg(F.sum(F.col("mix_tokens") * F.get("mix_posteriors", F.lit(k)))).first()[0] for k in range(2)]
+    assert totals[1] == pytest.approx(mixing.targets_for(natural, [0.5, 0.5], sum(natural), 2.0)[1], rel=0.05)
+    assert df.agg(F.avg("mix_copies")).first()[0] > 0.95
+
+
+def test_targets():
+    assert mixing.targets_for([100, 10, 50], [0.5, 0.5, 0], 110, 1.0) == [100, 10, 0]
+    assert mixing.targets_for([100, 10, 50], [0.5, 0.5, 0], 100, 2.0) == [80, 20, 0]
+    assert mixing.targets_for([100, 100, 0], [0.25, 0.75, 0], 100, 1.0) == [25, 75, 0]
+    assert mixing.targets_for([0, 0], [0.5, 0.5], 0, 1.0) == [0, 0]
+
+
 def test_rates_solve_the_least_squares(spark):
     """The fitted rates are near the minimum that plain gradient steps reach."""
     p = np.array([[1, 0, 0], [0, 1, 0], [0.3, 0.7, 0], [0.2, 0.2, 0.6]])
@@ -298,7 +317,7 @@ def test_rates_solve_the_least_squares(spark):
     got = {tuple(r.p): r.r for r in df.select("p", rates.of(F.col("p")).alias("r")).collect()}
     r = np.ones(4)
     for _ in range(20000):
-        r = np.maximum(0, r - 0.5 * (p @ ((p.T @ (r * t) - targets) / natural) + mixing.RIDGE * (r - 1)))
+        r = np.clip(r - 0.5 * (p @ ((p.T @ (r * t) - targets) / natural) + mixing.RIDGE * (r - 1)), 0, 1)
     assert np.allclose([got[tuple(x)] for x in p.tolist()], r, atol=0.02)
 
 
