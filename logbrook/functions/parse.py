@@ -21,10 +21,6 @@ def split_lines(content: Column) -> Column:
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.regexp_replace(x, r"\r\z", ""))
 
 
-def token(line: Column, n: int) -> Column:
-    return F.regexp_extract(line, r"\A([^ ]*) ([^ ]*) ([^ ]*)", n)
-
-
 def timestamp_of(stamp: Column) -> Column:
     """The instant, null if the token isn't strictly of an accepted form. No zone means UTC whatever the session's zone."""
     zoned = F.when(stamp.rlike(r"(Z|[+-][0-9]{2}:[0-9]{2})\z"), stamp).otherwise(F.concat(stamp, F.lit("Z")))
@@ -33,10 +29,8 @@ def timestamp_of(stamp: Column) -> Column:
 
 def level_of(name: Column) -> Column:
     """One of the five levels; ASCII case doesn't matter, anything else is OTHER."""
-    found = F.lit("OTHER")
-    for level in ("DEBUG", "ERROR", "WARN", "INFO"):
-        found = F.when(name.rlike(rf"\A(?i:{level})\z"), level).otherwise(found)
-    return found
+    upper = F.upper(name)
+    return F.when(name.rlike(r"\A[A-Za-z]{4,5}\z") & upper.isin("INFO", "WARN", "ERROR", "DEBUG"), upper).otherwise(F.lit("OTHER"))
 
 
 def latency_of(line: Column) -> Column:
@@ -52,11 +46,31 @@ def is_processable(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(name, r"[.]([^.]*)\z", 1)).isin("log", "txt")
 
 
+FIELDS = ("ts", "level", "message_key", "latency_ms", "is_malformed")
+
+
+def parsed(line: Column) -> Column:
+    """The struct of a line's FIELDS; a malformed line has null in all but the last."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def fields(x: Column) -> Column:
+        ok = x["ts"].isNotNull()
+        of = lambda i: F.get(x["parts"], F.lit(i))
+        return F.struct(x["ts"].alias("ts"), F.when(ok, level_of(of(1))).alias("level"), F.when(ok, of(2)).alias("message_key"), F.when(ok, latency_of(x["text"])).alias("latency_ms"), (~ok).alias("is_malformed"))
+
+    # a line has two spaces at least, and its third token ends at the next one
+    split = let(text_of(line), lambda t: F.struct(t.alias("text"), F.split(t, " ", 4).alias("parts")))
+    stamped = let(split, lambda x: F.struct(x["text"].alias("text"), x["parts"].alias("parts"), F.when(F.size(x["parts"]) >= 3, timestamp_of(F.get(x["parts"], F.lit(0)))).alias("ts")))
+    return let(stamped, fields)
+
+
 def with_parsed(lines, line: str = "line"):
-    """The rows with ts, level, message_key, latency_ms and is_malformed; malformed lines have null in the other four."""
-    text = text_of(line)
-    raw = lines.withColumns({"_stamp": token(text, 1), "_level": token(text, 2), "_key": token(text, 3), "_two": text.rlike(r"\A[^ ]* [^ ]* "), "_latency": latency_of(text)})
-    raw = raw.withColumn("_ts", F.when(F.col("_two"), timestamp_of(F.col("_stamp"))))
-    ok = F.col("_ts").isNotNull()
-    parsed = raw.withColumns({"ts": F.col("_ts"), "level": F.when(ok, level_of(F.col("_level"))), "message_key": F.when(ok, F.col("_key")), "latency_ms": F.when(ok, F.col("_latency")), "is_malformed": ~ok})
-    return parsed.drop("_stamp", "_level", "_key", "_two", "_latency", "_ts")
+    """The rows with ts, level, message_key, latency_ms and is_malformed; malformed lines have null in the other four.
+
+    The fields come out of a generator, which the optimiser neither repeats for each use of a field nor moves filters through:
+    each line is parsed once.
+    """
+    others = [c for c in lines.columns if c not in FIELDS]
+    return lines.select(*others, F.inline(F.array(parsed(F.col(line)))))
+
+

@@ -53,7 +53,7 @@ def advanced(state: dict, folder: str, capacity: int, latest: bool = False) -> d
     """The state after one more look at the folder; `events` of the new state are what happened since.
 
     Events beyond the capacity are dropped, the newest first, and leave the file's state as it was, so that the next
-    event of that file reads all its bytes. A file that shrank is read from its start.
+    event of that file reads all its bytes. A file that shrank is read from its start, and so is one that took another's name.
     """
     files, epochs = dict(state["files"]), dict(state["epochs"])
     events: list[list] = []
@@ -62,13 +62,14 @@ def advanced(state: dict, folder: str, capacity: int, latest: bool = False) -> d
         now = listing(folder)
     except OSError:
         now = {path: (f["size"], f["mtime"], f["inode"]) for path, f in files.items()}
-    gone = [path for path in files if path not in now]
-    came = [path for path in now if path not in files]
+    gone = [path for path, f in files.items() if path not in now or now[path][2] != f["inode"]]  # also replaced under its name
+    came = [path for path in now if path not in files or path in gone]
     by_inode = {files[path]["inode"]: path for path in gone}
     moved = {path: by_inode.pop(now[path][2]) for path in came if now[path][2] in by_inode}
     steps = [("Deleted", path, None) for path in gone if path not in moved.values()]
-    steps += [("Renamed", path, moved[path]) if path in moved else ("Created", path, None) for path in came]
-    steps += [("Modified", path, None) for path in now if path in files and (now[path][0], now[path][1]) != (files[path]["size"], files[path]["mtime"])]
+    steps += [("Renamed", path, old) for path, old in moved.items()]  # before a new file takes the old name
+    steps += [("Created", path, None) for path in came if path not in moved]
+    steps += [("Modified", path, None) for path in now if path in files and path not in gone and (now[path][0], now[path][1]) != (files[path]["size"], files[path]["mtime"])]
     for kind, path, old in steps:
         if len(events) >= capacity:
             dropped += 1

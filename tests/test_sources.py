@@ -78,6 +78,24 @@ def test_tail_states(tmp_path):
     assert step() == [("Created", "c.bin", 1, 0, 0, "NoData")]
 
 
+def test_tail_rotation(tmp_path):
+    """A file under an old name with a new inode is read from its start, and the renamed one isn't read again beyond what it grew."""
+    state = {"tick": 0, "files": {}, "epochs": {}, "published": 0, "dropped": 0, "events": []}
+    log, old = str(tmp_path / "a.log"), str(tmp_path / "a.log.1")
+    put(log, b"one\ntwo..\n")
+    state = tail.advanced(state, str(tmp_path), 100)
+    os.rename(log, old)
+    put(log, b"three\nfour\nfive....\n")
+    state = tail.advanced(state, str(tmp_path), 100)
+    seen = {(e[0], e[1], e[4], e[5]) for e in state["events"]}
+    assert ("Created", log, 0, 20) in seen and any(e[0] == "Renamed" and e[1] == old and e[2] == log for e in state["events"])
+    put(str(tmp_path / "b.tmp"), b"six\nseven\n")
+    os.replace(tmp_path / "b.tmp", log)
+    state = tail.advanced(state, str(tmp_path), 100)
+    assert {(e[0], e[4], e[5]) for e in state["events"] if e[1] == log} >= {("Deleted", 0, 0), ("Created", 0, 10)}
+    assert state["epochs"][log] == 2
+
+
 def test_tail_capacity(tmp_path):
     for i in range(3):
         put(tmp_path / f"{i}.log", b"x\n")
