@@ -2,9 +2,10 @@
 
 Templates are short licence notices with the phrases that a text must have to count. Their words
 are looked up in each text; how rare a word is comes from its document frequency in the whole table.
-For each template whose phrases' words a text all has, the two rarest shared words' places are shifted by
-the places in the template and intersected; at each common relative place the mandatory phrases are
-verified and the share of aligned template words is the score. Work is within rows; only document
+For each template whose phrases' words a text all has, the two rarest words of its mandatory phrases are looked up, and their
+places, shifted by those in the template, are intersected; at each common relative place the mandatory phrases are
+verified and the share of aligned template words is the score. A valid placement aligns all words of the phrases, so none is lost,
+whatever other words of the template stand elsewhere in the text. Work is within rows; only document
 frequencies of the templates' own words are aggregated.
 """
 
@@ -75,7 +76,7 @@ def matches(words: Column, known: Column, rarity: Column, templates: Column) ->
     """(label, at, score) of all verified placements of templates whose phrases' words are all among `known`."""
 
     def of(t: Column) -> Column:
-        shared = F.transform(F.array_intersect(t["words"], known), lambda w: F.struct(F.coalesce(F.element_at(rarity, w), F.lit(0.0)).alias("idf"), w.alias("word")))
+        shared = F.transform(t["needed"], lambda w: F.struct(F.coalesce(F.element_at(rarity, w), F.lit(0.0)).alias("idf"), w.alias("word")))
 
         def aligned(rarest: Column) -> Column:
             one = _relative(words, t["words"], F.get(rarest, F.lit(0))["word"])
@@ -93,7 +94,8 @@ def matches(words: Column, known: Column, rarity: Column, templates: Column) ->
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, phrases: tuple = PHRASES, tag: str = "licenses") -> DataFrame:
     """One row per input row: doc_id, n_words, base (array of start and label), found (array of label, at, score).
 
-    A null text is empty; repeated rows and null ids keep a row each. Texts that lack a word of every
+    A null text is empty, an empty table gives no rows; repeated rows and null ids keep a row each; very long texts are one row's work,
+    linear in their words. Words equally rare are taken in the order of the alphabet, which changes no result. Other columns may have any names. Texts that lack a word of every
     phrase can't match any and aren't looked at further.
     """
     scratch = Scratch(docs.sparkSession, tag)

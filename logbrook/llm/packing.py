@@ -29,19 +29,20 @@ def encoder(path: str):
     """text -> ids as little-endian unsigned 32-bit numbers, under a byte-level vocabulary file.
 
     The vocabulary and its ranks come from the file; merging runs in a faster library with
-    the same result (tests compare it with the file's own tokenizer).
+    the same result, added tokens that are spelled out in a text included (tests compare it with the file's own tokenizer).
     """
     import json
 
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+        spec = json.load(file)
+    vocabulary, added = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary's spelling
     spelled = {chr(c): c for c in own} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in own)}
-    ranks = {bytes(spelled[c] for c in token): rank for token, rank in vocabulary.items() if not token.startswith("<|")}
-    encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: array("I", encode(text)).tobytes()
+    ranks = {bytes(spelled[c] for c in token): rank for token, rank in vocabulary.items() if token not in added}
+    encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added).encode
+    return lambda text: array("I", encode(text, allowed_special="all")).tobytes()
 
 
 def piece_batches(path: str, limit: int, end_id: int, with_ids: bool):
@@ -121,6 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     Pieces fill each sequence from offset 0 without gaps. A null or empty text gives one piece with the
     end id; repeated rows and rows with a null id are packed each on its own; an empty table gives no rows.
+    A very long text is one row's work and is cut into pieces; columns of docs other than the two read may have any names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, tag)

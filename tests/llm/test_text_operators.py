@@ -77,9 +77,7 @@ def test_links_of_random_fingerprints(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(entry.tokenizer_file())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(entry.tokenizer_file())
 
 
 def test_ids_are_the_tokenizers():
@@ -228,14 +226,14 @@ def test_ledger_is_incremental(spark):
 
 
 def test_licenses(spark, rows):
-    more = [(600, "under the MIT license under THE mit license"), (601, "Kit under the MİT license cc by nc"), (602, "under the mitKlicense"), (603, "Permission is hereby granted, free of charge, to any person. cc by nc 5 cc by"), (604, "Licensed under CC BY-NC 4.0."), (605, "Apache License, Version 2.0"), (606, "This work is licensed under the GNU General Public License, version 3.")]
+    more = [(600, "under the MIT license under THE mit license"), (601, "Kit under the MİT license cc by nc"), (602, "under the mitKlicense"), (603, "Permission is hereby granted, free of charge, to any person. cc by nc 5 cc by"), (604, "Licensed under CC BY-NC 4.0."), (605, "Apache License, Version 2.0"), (606, "This work is licensed under the GNU General Public License, version 3."), (607, "Permission is hereby granted, free of charge, to any person. Please send restriction merge requests with documentation"), (608, "Redistribution and use in source and binary forms. The following conditions are met: provided, permitted, modification")]
     got = {(r.doc_id, tuple(r)[1:6], r.labels) for r in licenses.digest(licenses.scan(table(spark, rows + more))).collect()}
     want = set()
     for i, t in rows + more:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
         at = [(k, label) for p, label in licenses.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         starts, names = [k for k, _ in at], {label for _, label in at}
-        names_all = names | ({"mit"} if i == 603 else set()) | ({"gpl-3"} if i == 606 else set())
+        names_all = names | ({"mit"} if i in (603, 607) else set()) | ({"bsd"} if i == 608 else set()) | ({"gpl-3"} if i == 606 else set())
         want.add((i, (len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted(names))), ",".join(sorted(names_all))))
     assert got == want
 
