@@ -8,6 +8,12 @@ verify it. A pair that shares several keys is accepted under one of them only.
 
 Texts are fingerprinted once, and links are sought between distinct fingerprints, so that
 exact copies never meet in the join.
+
+`near_copies` finds texts of a given similarity of word shingles. Its fingerprints are of the distinct words, which
+edits move less than shingles, and are cut into 4 segments of 16 bits, so that 7 bits may differ; what meets is verified by
+the exact similarity of the shingle sets. Measured on the 48 pairs of 0.8 or more among 9,296 distinct texts: 7 bits find
+46, 3 bits 28; fingerprints of five-word shingles at 3 bits find 1. A key holds about a 32,768th of the texts, so that the join's
+work grows with their square beyond some millions of texts; fewer segments (5 or 3 bits) put that off.
 """
 
 from __future__ import annotations
@@ -15,12 +21,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, components
 
 BITS, SEGMENT, DIFFER = 64, 32, 3
+BROADCAST_ROWS = 1_000_000  # of one number each
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -90,7 +97,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the least id of the rows whose fingerprints are reached over links of at
     most 3 differing bits. A null id keeps its row and never names a component, unless the whole
-    component has no id (then null). An empty table gives an empty result.
+    component has no id (then null). An empty table gives an empty result; a very long text is one row's work, in
+    bounded memory besides the text; other columns may have any names.
     """
     scratch = Scratch(docs.sparkSession, tag)
     prints = scratch.write(fingerprints(docs, id_col, text_col, shingle), "prints")
@@ -105,6 +113,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def text_batches(shingle: int):
+    """(id, text) -> (id, class_id, fp), or with a shingle length (class_id, shingles).
+
+    class_id is a hash of the word sequence, fp the SimHash of its distinct words, shingles the distinct hashes of its word shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                classes, found = [], []
+                for text in part.column(1).cast(pa.binary()).to_pylist():
+                    words = (text or b"").translate(LOWER).split()
+                    classes.append(xxh64_intdigest(b" ".join(words), 42))
+                    if shingle:
+                        hashes = {xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+                        found.append(np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64))
+                        continue
+                    hashes = np.array([xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
+                    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                    found.append(int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little") if words else 0)
+                ids = pa.array(np.array(classes, np.uint64).view(np.int64))
+                if shingle:
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int64()))], ["class_id", "shingles"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "class_id", "fp"])
+
+    return run
+
+
+def wild_pairs(nodes: DataFrame, segments: int = 4) -> DataFrame:
+    """(u, v) of the rows (node, fp, root) of unlike roots whose fingerprints differ in at most 2 * segments - 1 bits, each pair once."""
+    width = BITS // segments
+    mask = (1 << width) - 1
+    part = lambda x, s: F.shiftrightunsigned(x, s * width).bitwiseAND(F.lit(mask))
+    keys = [F.lit(s * width + j).cast("long").bitwiseOR(F.shiftleft(part(F.col("fp"), s).bitwiseAND(F.lit(mask & ~(1 << j))), 6)) for s in range(segments) for j in range(width)]
+    filed = nodes.select("node", "fp", "root", F.explode(F.array(*keys)).alias("key"))
+    a, b = filed.alias("a"), filed.alias("b")
+    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    wild = F.col("a.key").bitwiseAND(F.lit(BITS - 1))
+    # a pair is taken under the first segment that differs in one bit at most: under that bit, or the first one if none differs
+    first = F.lit(False)
+    for s in reversed(range(segments)):
+        here = part(differ, s)
+        first = F.when(F.bit_count(here) <= 1, (F.shiftright(wild, width.bit_length() - 1) == s) & ((here != 0) | (wild == s * width))).otherwise(first)
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (F.bit_count(differ) <= 2 * segments - 1) & first
+    return a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+
+def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", similarity: float = 0.8, shingle: int = 5, segments: int = 4, tag: str = "copies") -> DataFrame:
+    """(id, component_id) of every row: the least id of the rows that it reaches over texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
+
+    Words are as in `fingerprints`; texts of the same words in the same order are alike, those without words too, and texts of fewer words than a
+    shingle are one shingle. First each segment's neighbours in the order of fingerprints are compared, which joins
+    large groups in linear work; then all pairs that share a key and are in different groups still. The id names a row and isn't null.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, tag)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = scratch.write(rows.mapInArrow(text_batches(0), "id long, class_id long, fp long"), "prints")
+    classes = scratch.write(prints.groupBy("class_id").agg(F.min("id").alias("least"), F.min("fp").alias("fp")), "classes")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.write(pairs.distinct(), "pairs")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("class_id")).distinct()
+        wanted = scratch.write(classes.join(ends, "class_id").select(F.col("least").alias("id")), "wanted")
+        small = wanted.count() <= BROADCAST_ROWS  # beyond that the join shuffles
+        texts = rows.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").mapInArrow(text_batches(shingle), "class_id long, shingles array<long>")
+        texts = scratch.write(texts, "shingles").dropDuplicates(["class_id"])
+        both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return scratch.write(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links")
+
+    width = BITS // segments
+    cut = classes.select("class_id", "fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1)) for s in range(segments)])).alias("segment", "bits"))
+    order = Window.partitionBy("segment", "bits").orderBy("fp", "class_id")
+    member = F.struct(F.col("class_id").alias("v"), "fp")
+    seen = cut.select(F.col("class_id").alias("u"), F.col("fp").alias("its"), F.first(member).over(order).alias("hub"), F.lag(member).over(order).alias("before"))
+    seen = seen.select("u", "its", F.explode(F.array("hub", "before")).alias("mate")).select("u", "its", "mate.*")
+    near = seen.where((F.col("u") != F.col("v")) & (F.bit_count(F.col("its").bitwiseXOR(F.col("fp"))) <= 2 * segments - 1))
+    links = verified(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    roots = components(scratch, links)
+    nodes = classes.join(roots, F.col("class_id") == F.col("node"), "left").select(F.col("class_id").alias("node"), "fp", F.coalesce("root", "class_id").alias("root"))
+    links = links.unionByName(verified(wild_pairs(scratch.write(nodes, "nodes"), segments)))
+    roots = components(scratch, links)
+    tops = scratch.write(classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "least", F.coalesce("root", "class_id").alias("root")), "roots")
+    names = tops.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = tops.join(names, "root").select("class_id", "component_id")
+    return prints.join(named, "class_id").select("id", "component_id")
+
+
 def _signed(x: int) -> int:
     x &= (1 << 64) - 1
     return x - (1 << 64) if x >> 63 else x

@@ -74,6 +74,37 @@ def test_links_of_random_fingerprints(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_copies(spark):
+    """Against all pairs of shingle sets: no group without links, and nearly all similar pairs in one group."""
+    random.seed(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(None, 0), ("", 1), ("a b", 2), ("A  b", 3), ("a b c", 4)]
+    for k in range(60):
+        first = random.choices(words, k=random.randint(30, 200))
+        rows.append((" ".join(first), 1000 * k + 10))
+        for j in range(2):
+            rows.append((" ".join(random.choice(words) if random.random() < 0.015 else w for w in first), 1000 * k + 11 + j))
+    table = spark.createDataFrame([(t, i, "x") for t, i in rows], "text string, doc_id long, fp string")
+    got = {r.id: r.component_id for r in simhash.near_copies(table, "doc_id").collect()}
+    split = {i: (t or "").lower().split() for t, i in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in split.items()}
+    near = {(i, j) for i in sets for j in sets if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))}
+    assert len(got) == len(rows) and got[0] == got[1] == 0 and got[2] == got[3] == 2 and got[4] == 4
+    assert all(any((min(i, j), max(i, j)) in near for j in got if j != i and got[j] == got[i]) for i in got if got[i] != i)
+    assert len(near) > 60 and sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
+
+
+def test_wild_pairs_of_random_fingerprints(spark):
+    random.seed(11)
+    base = [random.getrandbits(64) for _ in range(25)]
+    values = list({b ^ sum(1 << k for k in random.sample(range(64), n)) for b in base for n in (0, 1, 3, 4, 6, 7, 8)})
+    signed = [(k, v - (1 << 64) if v >> 63 else v, k) for k, v in enumerate(values)]
+    for segments in (2, 4):
+        got = [tuple(r) for r in simhash.wild_pairs(spark.createDataFrame(signed, "node long, fp long, root long"), segments).collect()]
+        want = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= 2 * segments - 1}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
