@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import is_processable, with_parsed
+from ..functions.parse import is_processable, split_lines, with_parsed
 from ..operators import admission, aggregate, lifecycle
 from ..sources import synthetic
 
@@ -118,6 +118,29 @@ def interval_topk(spark, sf_dir):
     return aggregate.top_k_per(aggregate.message_counts(daily, "day"), ["day"], 3)
 
 
+def split_contents(spark, sf_dir):
+    """Every complete line of every content, with its number from 0."""
+    contents = synthetic.contents(_events(spark, sf_dir))
+    return contents.select("event_id", F.posexplode(split_lines(F.col("content"))).alias("line_no", "line"))
+
+
+def unended_contents(spark, sf_dir):
+    """Lines and characters after the last line end, by whether there are any."""
+    contents = synthetic.contents(_events(spark, sf_dir))
+    rest = F.length(F.regexp_extract("content", r"([^\n]*)\z", 1))
+    counted = contents.select((rest > 0).alias("unended"), F.size(split_lines(F.col("content"))).alias("complete"), rest.alias("rest"))
+    return counted.groupBy("unended").agg(F.sum("complete").alias("n_lines"), F.sum("rest").alias("rest_chars"))
+
+
+def io_counters(spark, sf_dir):
+    return aggregate.io_counts(synthetic.read_statuses(_events(spark, sf_dir)))
+
+
+def merged_histograms(spark, sf_dir):
+    """Histograms per path, merged: the same as over all lines."""
+    return aggregate.merge_histograms(aggregate.latency_histogram(_records(spark, sf_dir), "path").drop("path"))
+
+
 def partial_final_merge(spark, sf_dir):
     """Counters and key counts per path, then merged: the same as over all lines."""
     records = _records(spark, sf_dir)
@@ -126,7 +149,7 @@ def partial_final_merge(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    found = [line_counters, parsed_records, level_counts, message_counts, topk_messages, latency_histogram, latency_percentiles, percentiles_by_path, fs_event_counts, processable_events, file_epochs, file_generations, tail_ranges, tail_ranges_kept_offset, truncation_counts, burst_admission, queue_simulation, interval_report_hourly, interval_topk, partial_final_merge]
+    found = [line_counters, parsed_records, level_counts, message_counts, topk_messages, latency_histogram, latency_percentiles, percentiles_by_path, fs_event_counts, processable_events, file_epochs, file_generations, tail_ranges, tail_ranges_kept_offset, truncation_counts, burst_admission, queue_simulation, interval_report_hourly, interval_topk, partial_final_merge, split_contents, unended_contents, io_counters, merged_histograms]
     return {f.__name__: f for f in found}
 
 
@@ -162,6 +185,13 @@ ops AS (
   SELECT seq, CASE kind WHEN 'Renamed' THEN 1 ELSE 0 END, 'W', path FROM fs WHERE kind <> 'Deleted' AND regexp_matches(lower(path), '[.](log|txt)$')),
 marked AS (SELECT *, op = 'D' AND coalesce(lag(op) OVER (PARTITION BY path ORDER BY seq, sub) = 'W', false) AS finalized FROM ops),
 gens AS (SELECT *, sum(CAST(finalized AS INT)) OVER (PARTITION BY path ORDER BY seq, sub ROWS UNBOUNDED PRECEDING) AS epoch FROM marked)"""
+_CONTENTS = """contents AS (
+  SELECT event_id, event_type || ' ' || user_id || CASE WHEN event_id % 3 = 0 THEN chr(13) || chr(10) ELSE chr(10) END
+    || CASE WHEN event_id % 5 = 0 THEN chr(10) || chr(13) || chr(10) ELSE '' END
+    || CASE WHEN event_id % 7 = 0 THEN 'a' || chr(13) || 'b' || chr(13) || chr(13) || chr(10) ELSE '' END
+    || CASE WHEN event_id % 4 = 0 THEN '' ELSE 'rest ' || event_id END AS content
+  FROM events),
+parts AS (SELECT event_id, string_split(content, chr(10)) AS parts FROM contents)"""
 _SAMPLES = "SELECT *, least(greatest(latency_ms, 0), 10001) AS bin FROM records WHERE NOT is_malformed AND latency_ms IS NOT NULL"
 _SHARES = ", ".join(f"CAST(quantile_disc(bin, {p}) AS INT) AS p{n}" for n, p in ((50, 0.5), (95, 0.95), (99, 0.99)))
 
@@ -206,5 +236,9 @@ best AS (SELECT hour, message_key AS top_key, n AS top_count FROM (SELECT *, row
 SELECT hour, lines_processed, malformed_lines, n_info, n_warn, n_error, n_debug, n_other, coalesce(samples, 0) AS samples, p50, p95, p99, top_key, top_count, round(lines_processed / 3600.0, 6) AS lines_per_s
 FROM base LEFT JOIN shares USING (hour) LEFT JOIN best USING (hour)""",
         "interval_topk": f"WITH {_LINES} SELECT day, message_key, n, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, message_key) AS r FROM (SELECT strftime(event_ts, '%Y-%m-%d') AS day, message_key, count(*) AS n FROM records WHERE NOT is_malformed GROUP BY ALL)) WHERE r <= 3",
+        "split_contents": f"WITH {_CONTENTS} SELECT event_id, CAST(i - 1 AS INT) AS line_no, CASE WHEN ends_with(parts[i], chr(13)) THEN left(parts[i], length(parts[i]) - 1) ELSE parts[i] END AS line FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM parts)",
+        "unended_contents": f"WITH {_CONTENTS} SELECT parts[-1] <> '' AS unended, CAST(sum(len(parts) - 1) AS BIGINT) AS n_lines, CAST(sum(length(parts[-1])) AS BIGINT) AS rest_chars FROM parts GROUP BY 1",
+        "io_counters": "SELECT " + ", ".join(f"count(*) FILTER (WHERE event_id % 11 = {i}) AS {name}" for i, name in enumerate(("file_not_found", "access_denied", "io_exception", "truncation_reset"))) + " FROM events",
+        "merged_histograms": f"WITH {_LINES} SELECT bin, count(*) AS n FROM ({_SAMPLES}) GROUP BY bin",
         "partial_final_merge": f"WITH {_LINES} SELECT message_key, count(*) AS lines_processed, count(*) FILTER (WHERE is_malformed) AS malformed_lines FROM records GROUP BY message_key",
     }

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import is_processable
 
-#: The generator's messages (fixed values).
-MESSAGES = ("Processed request", "Handled event", "Completed job", "Timeout occurred", "User logged in", "Background task")
+#: Made-up messages.
+MESSAGES = ("Opened session", "Closed session", "Wrote segment", "Merged segments", "Slow disk", "Lost peer")
 PLAIN_LEVELS = ("INFO", "WARN", "ERROR", "DEBUG")
 
 
@@ -41,6 +41,22 @@ def length_observations(events: DataFrame) -> DataFrame:
     return events.select(path_of(F.col("user_id")).alias("path"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 29 == 0, 0).otherwise(F.floor(F.col("value") * 40)).cast("long").alias("length"))
 
 
+def contents(events: DataFrame) -> DataFrame:
+    """(event_id, content) of file contents with both line ends, single \\r, empty lines and mostly an unended last line."""
+    end = F.when(F.col("event_id") % 3 == 0, "\r\n").otherwise("\n")
+    empty = F.when(F.col("event_id") % 5 == 0, "\n\r\n").otherwise("")
+    inner = F.when(F.col("event_id") % 7 == 0, "a\rb\r\r\n").otherwise("")
+    last = F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit("rest "), F.col("event_id").cast("string")))
+    return events.select("event_id", F.concat(F.col("event_type"), F.lit(" "), F.col("user_id").cast("string"), end, empty, inner, last).alias("content"))
+
+
+def read_statuses(events: DataFrame) -> DataFrame:
+    """(path, status): how a read of each event's file went."""
+    r = F.col("event_id") % 11
+    status = F.when(r == 0, "FileNotFound").when(r == 1, "AccessDenied").when(r == 2, "IoError").when(r == 3, "TruncatedReset").when(r == 4, "NoData").otherwise("ReadSome")
+    return events.select(path_of(F.col("user_id")).alias("path"), status.alias("status"))
+
+
 def generate(spark: SparkSession, lines: int, files: int = 100, seed: int = 0, partitions: int | None = None) -> DataFrame:
     """(path, line) of made-up logs: time, level, message and a latency of 1 to 9999, spread over numbered files."""
     rows = spark.range(0, lines, 1, partitions) if partitions else spark.range(lines)

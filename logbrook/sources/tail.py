@@ -57,10 +57,11 @@ def advanced(state: dict, folder: str, capacity: int, latest: bool = False) -> d
     """
     files, epochs = dict(state["files"]), dict(state["epochs"])
     events: list[list] = []
-    published, dropped = state["published"], state["dropped"]
+    published, dropped, errors = state["published"], state["dropped"], state.get("errors", 0)
     try:
         now = listing(folder)
     except OSError:
+        errors += 1  # counted in the offset, which progress reports show
         now = {path: (f["size"], f["mtime"], f["inode"]) for path, f in files.items()}
     gone = [path for path, f in files.items() if path not in now or now[path][2] != f["inode"]]  # also replaced under its name
     came = [path for path in now if path not in files or path in gone]
@@ -100,7 +101,7 @@ def advanced(state: dict, folder: str, capacity: int, latest: bool = False) -> d
                 start = end
         files[path] = {"size": size, "mtime": mtime, "inode": inode, "offset": end}
         events.append([kind, path, old, epochs.get(path, 0) + 1, start, end, status, processable(path)])
-    return {"tick": state["tick"] + 1, "files": files, "epochs": epochs, "published": published, "dropped": dropped, "events": events}
+    return {"tick": state["tick"] + 1, "files": files, "epochs": epochs, "published": published, "dropped": dropped, "errors": errors, "events": events}
 
 
 class TailReader(SimpleDataSourceStreamReader):
@@ -112,7 +113,7 @@ class TailReader(SimpleDataSourceStreamReader):
             raise ValueError("queueCapacity must be at least 1")
 
     def initialOffset(self) -> dict:
-        return {"tick": 0, "files": {}, "epochs": {}, "published": 0, "dropped": 0, "events": []}
+        return {"tick": 0, "files": {}, "epochs": {}, "published": 0, "dropped": 0, "errors": 0, "events": []}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = advanced(start, self.folder, self.capacity, self.latest and start["tick"] == 0)
