@@ -82,7 +82,8 @@ def links(fps: DataFrame) -> DataFrame:
     masks = F.array(*[F.lit(_signed((full << (i // SEGMENT * SEGMENT)) & ~(1 << i))) for i in range(BITS)])
     keys = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("wild"))
     keys = keys.select("fp", "wild", F.col("fp").bitwiseAND(masks[F.col("wild")]).alias("key"))
-    a, b = keys.alias("a"), keys.alias("b")
+    # each row stands for BITS keys, which Spark's size estimate doesn't see: by itself it would send them all to the driver to be broadcast
+    a, b = keys.alias("a").hint("merge"), keys.alias("b")
     low, high = F.lit(full), F.lit(_signed(full << SEGMENT))
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     in_low, in_high = differ.bitwiseAND(low), differ.bitwiseAND(high)

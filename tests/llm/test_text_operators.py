@@ -74,6 +74,13 @@ def test_links_of_random_fingerprints(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("pairs", [simhash.links])
+def test_exploded_keys_are_never_broadcast(spark, tmp_path, pairs):
+    spark.range(2000).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp"), F.col("id").alias("root")).write.parquet(f"{tmp_path}/nodes")
+    plan = pairs(spark.read.parquet(f"{tmp_path}/nodes"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_copies(spark):
     """Against all pairs of shingle sets: no group without links, and nearly all similar pairs in one group."""
     random.seed(9)
