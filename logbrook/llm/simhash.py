@@ -154,7 +154,7 @@ def wild_pairs(nodes: DataFrame, segments: int = 4) -> DataFrame:
     part = lambda x, s: F.shiftrightunsigned(x, s * width).bitwiseAND(F.lit(mask))
     keys = [F.lit(s * width + j).cast("long").bitwiseOR(F.shiftleft(part(F.col("fp"), s).bitwiseAND(F.lit(mask & ~(1 << j))), 6)) for s in range(segments) for j in range(width)]
     filed = nodes.select("node", "fp", "root", F.explode(F.array(*keys)).alias("key"))
-    a, b = filed.alias("a"), filed.alias("b")
+    a, b = filed.alias("a").hint("merge"), filed.alias("b")  # never broadcast, as in `links`
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     wild = F.col("a.key").bitwiseAND(F.lit(BITS - 1))
     # a pair is taken under the first segment that differs in one bit at most: under that bit, or the first one if none differs

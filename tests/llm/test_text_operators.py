@@ -74,7 +74,7 @@ def test_links_of_random_fingerprints(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("pairs", [simhash.links])
+@pytest.mark.parametrize("pairs", [simhash.links, simhash.wild_pairs])
 def test_exploded_keys_are_never_broadcast(spark, tmp_path, pairs):
     spark.range(2000).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp"), F.col("id").alias("root")).write.parquet(f"{tmp_path}/nodes")
     plan = pairs(spark.read.parquet(f"{tmp_path}/nodes"))._jdf.queryExecution().executedPlan().toString()
