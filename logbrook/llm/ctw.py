@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-DEPTH, BLOCK, SLICE = 4, 24_000_000, 2_000_000
+DEPTH, BLOCK, SLICE = 4, 16_000_000, 400_000
+UNMERGED = 8  # tables of counts at once
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\xff"  # never in UTF-8
 GRAM, WORD = 0, 1
@@ -70,6 +71,17 @@ def summed(codes: list, counts: list):
     return codes[begin], np.add.reduceat(counts, begin) if len(begin) else counts
 
 
+def trim() -> None:
+    """Give unused memory back: workers serve many groups, and what they hold counts against their executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def word_code(word: bytes) -> int:
     from xxhash import xxh64_intdigest
 
@@ -82,6 +94,7 @@ def asked(key: tuple, table: pa.Table) -> pa.Table:
     import numpy as np
     from collections import Counter
 
+    trim()
     codes, counts, words, others = [], [], Counter(), set()
     for _, texts, held in slices(table):
         found, sizes = grams(texts)
@@ -90,7 +103,7 @@ def asked(key: tuple, table: pa.Table) -> pa.Table:
             u, n = np.unique(these, return_counts=True)
             codes.append(u)
             counts.append(n * known)
-        if len(codes) > 40:
+        if len(codes) > UNMERGED:
             codes, counts = ([x] for x in summed(codes, counts))
         for text, out in zip(texts, held):
             (others if out else words).update(text.split())
@@ -233,10 +246,12 @@ def scoring(total: int, distinct: int, ends: int):
 
         import numpy as np
 
+        trim()
         kind, code, value = (answers.column(c).to_numpy() for c in ("kind", "code", "value"))
         order = np.argsort(code[kind == GRAM])
         sequences, logs = code[kind == GRAM][order], value[kind == GRAM][order]
         elsewhere = dict(zip(code[kind == WORD].tolist(), value[kind == WORD].tolist()))
+        del answers, kind, code, value, order
         scale = math.log10(total + MISSING * (distinct + 1))
         unknown = math.log10(MISSING) - scale
         local: Counter = Counter()
@@ -286,7 +301,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
     needs = scratch.write(rows.groupBy("block").applyInArrow(asked, "block long, kind int, code long, train long"), "asked")
     scratch.release()
-    totals = scratch.write(needs.groupBy("kind", "code").agg(F.sum("train").alias("n")), "totals")
+    totals, summed_up = scratch.keep(needs.groupBy("kind", "code").agg(F.sum("train").alias("n")), "totals")
     words = totals.where(F.col("kind") == WORD)
     seen = words.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     total, distinct = (seen[0] or 0) + ends, seen[1] + (ends > 0)
@@ -296,6 +311,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     top = top_levels(parts.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_weighted").alias("log_weighted")).collect())  # at most 2^16 rows
     values = by_pair.applyInArrow(evaluation(top), "kind int, code long, value double").unionByName(words.select("kind", "code", F.col("n").cast("double").alias("value")))
     values = scratch.write(values, "values")
+    scratch.drop(summed_up)
+    scratch.release()
     answers = needs.join(values, ["kind", "code"]).where((F.col("kind") == GRAM) | (F.col("value") != F.col("train"))).select("block", "kind", "code", "value")
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scoring(total, distinct, ends), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

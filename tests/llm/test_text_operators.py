@@ -286,6 +286,24 @@ def test_base_scores(spark, rows):
     assert got == want
 
 
+def test_memory_of_a_block():
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute
+
+    random.seed(3)
+    texts = [" ".join(random.choices(["the", "of", "lines", "over", "context"], k=6_000)) for _ in range(100)]
+    docs = pa.table({"doc_id": list(range(100)), "text": texts, "held_out": [i % 10 == 0 for i in range(100)]})
+    tracemalloc.start()
+    asked = ctw.asked((pa.scalar(0),), docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    train = asked.filter(pa.compute.equal(asked["kind"], ctw.GRAM))["train"]
+    assert pa.compute.sum(train).as_py() == sum(len(t) + 1 for i, t in enumerate(texts) if i % 10)
+    assert peak < 40e6
+
+
 def test_context_trees(spark):
     """Scores are those of the recursive definition."""
     random.seed(4)
