@@ -84,6 +84,18 @@ def distance(a, b):
     return row[-1]
 
 
+def test_every_block_is_filed(spark):
+    words = [f"longword{i}" for i in range(400)]
+    line = spark.createDataFrame([(" ".join(words),)], "line string").select(lines.signature(F.col("line")).alias("s"))
+    hashes = sorted(r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect())
+    blocks = [[]]
+    for h in hashes:
+        blocks[-1].append(h)
+        if h % lines.PER == 0:
+            blocks.append([])
+    assert len(line.first().s["keys"]) == sum(len(b) >= lines.LEAST_IN_BLOCK for b in blocks) > 32
+
+
 def test_limit_of_edits(spark):
     """The limit by anchors is never under the edit distance, and at it for replaced words."""
     rng = np.random.default_rng(6)
