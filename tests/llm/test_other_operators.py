@@ -130,6 +130,17 @@ def test_lines_against_all_pairs(spark):
     assert all(not found[j] for j in text if j not in {x for pair in near for x in pair})
 
 
+def test_parts_of_few_members(spark, monkeypatch):
+    """Members of a crowded key that are alone in their part are compared with the others."""
+    monkeypatch.setattr(lines, "HOT", 8)
+    monkeypatch.setattr(lines, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(lines, "SALTS", 100_000)
+    words = [f"longword{i}" for i in range(30)]
+    rows = [(i, " ".join([*words[: i % 30], f"other{i}", *words[i % 30 + 1 :]])) for i in range(120)]
+    found = lines.dedup(documents(spark, rows)).collect()
+    assert sorted(r.n_removed for r in found) == [0] + [1] * 119
+
+
 def test_crowded_keys(spark, monkeypatch):
     """Keys with many members, dealt to parts, give the same groups."""
     monkeypatch.setattr(lines, "HOT", 8)
