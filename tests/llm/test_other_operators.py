@@ -96,6 +96,17 @@ def test_every_block_is_filed(spark):
     assert len(line.first().s["keys"]) == sum(len(b) >= lines.LEAST_IN_BLOCK for b in blocks) > 32
 
 
+def test_a_common_passage_makes_no_pairs_of_unlike_lengths(spark, monkeypatch):
+    passage = " ".join(f"passage{i}" for i in range(30))
+    rows = [(i, passage + "".join(f" w{i}x{j}" for j in range(90 * i))) for i in range(3)]
+    rows += [(3, rows[0][1] + " once")]
+    compared = []
+    inner = lines.verified
+    monkeypatch.setattr(lines, "verified", lambda pairs, *rest: (compared.append(pairs.count()), inner(pairs, *rest))[1])
+    assert sorted((r.doc_id, r.n_removed) for r in lines.dedup(documents(spark, rows)).collect()) == [(0, 0), (1, 0), (2, 0), (3, 1)]
+    assert sum(compared) == 1
+
+
 def test_limit_of_edits(spark):
     """The limit by anchors is never under the edit distance, and at it for replaced words."""
     rng = np.random.default_rng(6)
