@@ -107,6 +107,20 @@ def test_a_common_passage_makes_no_pairs_of_unlike_lengths(spark, monkeypatch):
     assert sum(compared) == 1
 
 
+def test_groups_with_a_common_passage_are_joined_part_by_part(spark, monkeypatch):
+    """Two families of unlike lengths share a passage: their members are joined without verifying all pairs of a family."""
+    passage = [f"passage{i}" for i in range(30)]
+    own = lambda i, j: f"{(4 + 4 * (i % 2)) * 'abcdefghijk'}{j}x{i:03d}"  # noqa: E731  no word of its own is in two lines
+    rows = [(i, " ".join([*(own(i, j) for j in range(7)), *passage])) for i in range(160)]
+    compared = []
+    inner = lines.verified
+    monkeypatch.setattr(lines, "PART", 8, raising=False)
+    monkeypatch.setattr(lines, "DENSE", 2, raising=False)
+    monkeypatch.setattr(lines, "verified", lambda pairs, *rest: (compared.append(pairs.count()), inner(pairs, *rest))[1])
+    assert sorted(r.n_removed for r in lines.dedup(documents(spark, rows)).collect()) == [0] * 2 + [1] * 158
+    assert sum(compared) < 1000, compared
+
+
 def test_limit_of_edits(spark):
     """The limit by anchors is never under the edit distance, and at it for replaced words."""
     rng = np.random.default_rng(6)
