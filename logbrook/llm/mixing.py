@@ -25,6 +25,9 @@ from .shared import Scratch
 #: Bound on the labelled rows that the classifier is fitted on (in expectation, chosen by a hash of their ids).
 SAMPLE = 50_000
 LEAST_Z, LEAST_COUNT, LEAST_RATIO = 5.0, 5, 3.0
+#: Up to INLINE features lie in the expression that rates a text; more (texts that recur make rare words significant) stay a table, which
+#: is joined, by broadcast up to BROADCAST_ROWS. Its weights are counted in units of 1 / UNIT, so that sums don't depend on their order.
+INLINE, BROADCAST_ROWS, UNIT = 4096, 100_000, 1 << 26
 RIDGE, STEPS, TOLERANCE = 0.001, 60, 2e-4
 
 
@@ -53,10 +56,30 @@ def tokens(text: Column) -> Column:
 
 
 class Classifier:
-    """Domains in order, log odds without any feature, and each chosen feature's change of them."""
-
-    def __init__(self, domains: list[str], base: list[float], weights: dict[str, list[float]]) -> None:
-        self.domains, self.base, self.weights = domains, base, weights
+    """Domains in order, log odds without any feature, and each chosen feature's change of them, here or in a table (feature, changes)."""
+
+    def __init__(self, domains: list[str], base: list[float], weights: dict[str, list[float]], table: DataFrame | None = None) -> None:
+        self.domains, self.base, self.weights, self.table = domains, base, weights, table
+
+    def rated(self, docs: DataFrame, text: Column) -> DataFrame:
+        """docs with mix_posteriors added."""
+        if self.table is None:
+            return docs.select("*", self.posteriors(text).alias("mix_posteriors"))
+        keys = [F.xxhash64(text).alias("mix_k1"), F.hash(text, F.length(text)).alias("mix_k2")]
+        known = F.broadcast(self.table) if self.table.count() <= BROADCAST_ROWS else self.table.hint("shuffle_merge")
+        # every row has the feature "#" once: rows of one text have n times its sums
+        found = docs.select(*keys, F.explode(F.array_append(features(text), "#")).alias("feature")).join(known, "feature")
+        sums = found.groupBy("mix_k1", "mix_k2").agg(F.sum(F.when(F.col("feature") == "#", 1)).alias("n"), *[F.sum(F.get("changes", F.lit(k))).alias(f"s{k}") for k in range(len(self.domains))])
+        logs = F.array(*[F.lit(b) + F.col(f"s{k}") / F.col("n") / float(UNIT) for k, b in enumerate(self.base)])
+        rated = sums.select("mix_k1", "mix_k2", self._shares(logs).alias("mix_posteriors"))
+        return docs.select("*", *keys).join(rated, ["mix_k1", "mix_k2"]).drop("mix_k1", "mix_k2")
+
+    def _shares(self, logs: Column) -> Column:
+        odds = let(logs, lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))
+        return self._rounded(odds)
+
+    def _rounded(self, odds: Column) -> Column:
+        return let(odds, lambda v: F.transform(v, lambda x: F.round(x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y), 3)))
 
     def posteriors(self, text: Column) -> Column:
         """Array of posteriors in the domains' order, rounded to three digits."""
@@ -64,7 +87,7 @@ class Classifier:
             return F.array().cast("array<double>")
         if not self.weights:
             top = max(self.base)
-            odds = F.array(*[F.lit(math.exp(b - top)) for b in self.base])
+            return self._rounded(F.array(*[F.lit(math.exp(b - top)) for b in self.base]))
         else:
             known, table, size = self._table()
             of = lambda w: F.element_at(F.get(table, F.pmod(F.crc32(w), F.lit(size)).cast("int")), w)
@@ -72,8 +95,7 @@ class Classifier:
             here = let(words_of(text), lambda w: F.transform(F.concat(F.array_intersect(w, known), shape(w)), of))
             zero = F.array(*[F.lit(b) for b in self.base])
             logs = F.aggregate(here, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-            odds = let(logs, lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))
-        return let(odds, lambda v: F.transform(v, lambda x: F.round(x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y), 3)))
+            return self._shares(logs)
 
     def _table(self) -> tuple[Column, Column, int]:
         """The features, their weights in buckets by checksum (maps are searched from their start), and the number of buckets."""
@@ -97,24 +119,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("its_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("its_text"))
     known = texts.join(F.broadcast(chosen), F.col("its_id") == F.col("labelled")).select("domain", "its_text")
     counts = known.select("domain", F.explode(F.array_append(features(F.col("its_text")), "#")).alias("feature")).groupBy("feature", "domain").agg(F.count("*").alias("n"))
-    counts = Scratch(docs.sparkSession, tag).write(counts, "features")
+    scratch = Scratch(docs.sparkSession, tag)
+    counts = scratch.write(counts, "features")
     sizes = {r["domain"]: r["n"] for r in counts.where("feature = '#'").collect()}  # one row for each domain
     domains = sorted(sizes)
     if len(domains) < 2:
         return Classifier(domains, [0.0] * len(domains), {})
     total = sum(sizes.values())
     wide = counts.where(F.col("feature") != "#").groupBy("feature").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)])
-    found: dict[str, list[int]] = {}
+    telling = F.lit(False)
     for k, d in enumerate(domains):
         inside, outside, mean = F.col(f"n{k}") / sizes[d], (F.col("all") - F.col(f"n{k}")) / (total - sizes[d]), F.col("all") / total
         z = (inside - outside) / F.sqrt(mean * (1 - mean) * (1 / sizes[d] + 1 / (total - sizes[d])) + 1e-12)
-        best = wide.select("*", F.round(z, 6).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col(f"n{k}") >= LEAST_COUNT) & (inside >= LEAST_RATIO * outside))
-        for r in best.collect():  # all that are significant; the sample bounds them
-            found[r["feature"]] = [r[f"n{i}"] for i in range(len(domains))]
+        telling = telling | ((F.round(z, 6) >= LEAST_Z) & (F.col(f"n{k}") >= LEAST_COUNT) & (inside >= LEAST_RATIO * outside))
+    telling = scratch.write(wide.where(telling).drop("all"), "telling")  # all that are significant
     base = [math.log(sizes[d] / total) for d in domains]
+    if telling.count() > INLINE:
+        share = [(F.col(f"n{k}") + 0.5) / (sizes[d] + 1) for k, d in enumerate(domains)]
+        units = lambda x: F.round(x * float(UNIT)).cast("long")
+        without = telling.agg(*[F.sum(units(F.log(1 - p))) for p in share]).first()
+        weights = telling.select("feature", F.array(*[units(F.log(p) - F.log(1 - p)) for p in share]).alias("changes"))
+        none = weights.limit(1).select(F.lit("#").alias("feature"), F.array_repeat(F.lit(0).cast("long"), len(domains)).alias("changes"))
+        return Classifier(domains, [b + n / UNIT for b, n in zip(base, without)], {}, scratch.write(weights.unionByName(none), "weights"))
     weights = {}
-    for word in sorted(found):
-        p = [(n + 0.5) / (sizes[d] + 1) for n, d in zip(found[word], domains)]
+    for word, *counted in sorted(telling.collect()):
+        p = [(n + 0.5) / (sizes[d] + 1) for n, d in zip(counted, domains)]
         base = [b + math.log(1 - x) for b, x in zip(base, p)]
         weights[word] = [math.log(x) - math.log(1 - x) for x in p]
     return Classifier(domains, base, weights)
@@ -195,7 +224,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: s
     scratch = Scratch(docs.sparkSession, tag)
     classifier = fit(docs if learn is None else learn, labels, id_col, text_col, label_id, domain_col, sample, tag)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    mixed = docs.select("*", classifier.posteriors(text).alias("mix_posteriors"), tokens(text).alias("mix_tokens"), (F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(1 << 30)) / float(1 << 30)).alias("mix_chance"))
+    mixed = classifier.rated(docs, text).select("*", tokens(text).alias("mix_tokens"), (F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(1 << 30)) / float(1 << 30)).alias("mix_chance"))
     mixed = scratch.write(mixed, "posteriors")
     totals = scratch.write(mixed.groupBy(F.col("mix_posteriors").alias("p")).agg(F.sum("mix_tokens").alias("tokens")), "totals")
     k = len(classifier.domains)

@@ -285,6 +285,23 @@ def test_mixing_drops_a_domain(spark):
     assert rows[9000].mix_tokens == 0 and rows[None].mix_copies == 1
 
 
+def test_mixing_with_very_many_features(spark, monkeypatch):
+    """Words of texts that recur are significant in any number; the driver gets few of them, and all of them count."""
+    random.seed(11)
+    own = lambda k: " ".join(f"{'good' if k % 2 else 'bad'}{''.join(chr(97 + int(x)) for x in str(k * 30 + i))}" for i in range(30))
+    docs = documents(spark, [(k + 1000 * copy, own(k)) for k in range(40) for copy in range(40)])
+    labels = spark.createDataFrame([(k + 1000 * copy, "good" if k % 2 else "bad") for k in range(40) for copy in range(40)], "doc_id long, domain string")
+    monkeypatch.setattr(mixing, "INLINE", 5000, raising=False)
+    inline = {r.doc_id: r for r in mixing.mix(docs, labels, {"good": 1.0})[0].collect()}
+    assert len(mixing.fit(docs, labels).weights) == 1200
+    monkeypatch.setattr(mixing, "INLINE", 100)
+    assert not mixing.fit(docs, labels).weights
+    for rows in (100_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", rows)
+        got = {r.doc_id: r for r in mixing.mix(docs, labels, {"good": 1.0})[0].collect()}
+        assert len(got) == 1600 and got == inline
+
+
 def test_mixing_finds_toxic_text_of_every_language(spark):
     """Abuse of the rarer languages counts, however many words of the most frequent one are more significant."""
     random.seed(10)
