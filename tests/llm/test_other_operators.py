@@ -192,6 +192,19 @@ def test_similar_long_lines(spark):
     assert 4000 < len(edited) <= 10_000 and df.select(lines.similar("a", "b")).first()[0]
 
 
+def test_similar_lines_of_unlike_words_and_of_any_length(spark):
+    """Edit similarity decides where most words have a changed letter, and above 10,000 characters too."""
+    words = ["".join(chr(97 + (7 * i + 3 * j * j) % 26) for j in range(9)) for i in range(60)]
+    changed = " ".join(w[:4] + "_" + w[5:] for w in words)
+    long = [f"word{i}" for i in range(2000)]
+    edited = " ".join("changed" if i % 20 == 0 else w for i, w in enumerate(long))
+    far = " ".join("changed" if i % 3 == 0 else w for i, w in enumerate(long))
+    df = spark.createDataFrame([(" ".join(words), changed), (" ".join(long), edited), (" ".join(long), far)], "a string, b string")
+    assert len(edited) > 10_000
+    want = [distance(" ".join(words), changed) <= 0.2 * len(changed), True, False]
+    assert [r[0] for r in df.select(lines.similar("a", "b")).collect()] == want == [True, True, False]
+
+
 def nearest(rows, every):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     ids, x = np.array([i for i, _ in ok]), np.array([v for _, v in ok])
