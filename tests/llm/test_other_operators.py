@@ -205,6 +205,16 @@ def test_similar_lines_of_unlike_words_and_of_any_length(spark):
     assert [r[0] for r in df.select(lines.similar("a", "b")).collect()] == want == [True, True, False]
 
 
+def test_near_lines_of_unlike_words_are_compared(spark):
+    """Lines with a block in common are compared however many of their other words have a changed letter."""
+    words = ["".join(chr(97 + (7 * i + 3 * j * j) % 26) for j in range(9)) + "abc"[i % 3] * (i // 26) for i in range(60)]
+    same = words[:18]
+    texts = [" ".join([*same, *words[18:]]), " ".join([*same, *(w[:4] + "_" + w[5:] for w in words[18:])])]
+    keys = [set(r.s["keys"]) for r in spark.createDataFrame([(t,) for t in texts], "line string").select(lines.signature(F.col("line")).alias("s")).collect()]
+    assert keys[0] & keys[1] and distance(*texts) <= 0.2 * len(texts[0])
+    assert sorted((r.doc_id, r.n_removed) for r in lines.dedup(documents(spark, [*enumerate(texts)])).collect()) == [(0, 0), (1, 1)]
+
+
 def nearest(rows, every):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     ids, x = np.array([i for i, _ in ok]), np.array([v for _, v in ok])
