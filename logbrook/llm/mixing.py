@@ -33,19 +33,19 @@ RIDGE, STEPS, TOLERANCE = 0.001, 60, 2e-4
 
 def features(text: Column) -> Column:
     """Distinct lower-case words and marks for the text's shape (#name and level); classes are of ASCII, which is cheap."""
-    return let(words_of(text), lambda w: F.concat(F.array_remove(F.array_distinct(w), ""), marks(text, w)))
+    return let(words_of(text), lambda w: let(F.array_distinct(w), lambda d: F.concat(F.array_remove(d, ""), marks(text, w, d))))
 
 
 def words_of(text: Column) -> Column:
     return F.split(F.lower(text), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def marks(text: Column, words: Column) -> Column:
+def marks(text: Column, words: Column, distinct: Column) -> Column:
     """How many of the characters are capitals and signs, and how many of the words are repeats."""
     level = lambda name, share: F.concat(F.lit(f"#{name}"), F.when(share < 0.02, "0").when(share < 0.1, "1").when(share < 0.3, "2").otherwise("3"))
     size = F.greatest(F.length(text), F.lit(1))
     others = lambda pattern: (F.octet_length(text) - F.octet_length(F.regexp_replace(text, pattern, ""))) / size
-    again = let(F.size(words), lambda n: 1 - F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1)) - 0.4)
+    again = let(F.size(words), lambda n: 1 - F.size(distinct) / F.greatest(n, F.lit(1)) - 0.4)
     return F.array(level("again", again), level("upper", others("[A-Z]+")), level("sign", others(r"[!-+\-/:-@\[-`{-~]+")))
 
 
@@ -89,16 +89,17 @@ class Classifier:
             top = max(self.base)
             return self._rounded(F.array(*[F.lit(math.exp(b - top)) for b in self.base]))
         else:
-            known, table, size = self._table()
+            table, size = self._table()
             of = lambda w: F.element_at(F.get(table, F.pmod(F.crc32(w), F.lit(size)).cast("int")), w)
-            shape = lambda w: F.filter(marks(text, w), lambda m: F.array_contains(F.array(*[F.lit(x) for x in self.weights if x.startswith("#")] or [F.lit("")]), m))
-            here = let(words_of(text), lambda w: F.transform(F.concat(F.array_intersect(w, known), shape(w)), of))
+            # each distinct word is looked up: a set of all features for every text would cost more
+            found = lambda names: F.filter(F.transform(names, of), lambda v: v.isNotNull())
+            here = let(words_of(text), lambda w: let(F.array_distinct(w), lambda d: found(F.concat(d, marks(text, w, d)))))
             zero = F.array(*[F.lit(b) for b in self.base])
             logs = F.aggregate(here, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
             return self._shares(logs)
 
-    def _table(self) -> tuple[Column, Column, int]:
-        """The features, their weights in buckets by checksum (maps are searched from their start), and the number of buckets."""
+    def _table(self) -> tuple[Column, int]:
+        """The features' weights in buckets by checksum (maps are searched from their start), and the number of buckets."""
         size = 1 << len(self.weights).bit_length()
         spell = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
         pair = lambda w, v: f"{spell(w)}, array({', '.join(f'{float(x)!r}D' for x in v)})"
@@ -106,7 +107,7 @@ class Classifier:
         for w, v in self.weights.items():
             buckets[zlib.crc32(w.encode()) % size].append(pair(w, v))
         table = "array(" + ", ".join(f"map({', '.join(b)})" for b in buckets) + ")"
-        return F.expr(f"array({', '.join(map(spell, self.weights))})"), F.expr(table), size
+        return F.expr(table), size
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", domain_col: str = "domain", sample: int = SAMPLE, tag: str = "mixing") -> Classifier:
