@@ -205,6 +205,30 @@ def test_similar_lines_of_unlike_words_and_of_any_length(spark):
     assert [r[0] for r in df.select(lines.similar("a", "b")).collect()] == want == [True, True, False]
 
 
+def test_far_lines_are_told_by_their_ends(spark):
+    """No line within the limit is refused by its beginning or end, and unlike ones with a common passage are, without the whole table."""
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyz  ä")
+    text = lambda n: "".join(rng.choice(letters, n))
+    near, far = [], []
+    for n in [0, 1, 4, 5, 7, *rng.integers(10, 160, 60)]:
+        a = b = text(n)
+        for _ in range(n // 5):
+            at = rng.integers(0, len(b) + 1)
+            b = b[:at] + [text(1), ""][rng.integers(2)] + b[at + rng.integers(2) :]
+        near.append((a, b))
+    for _ in range(20):
+        passage = text(60)
+        far += [(text(90) + passage, text(90) + passage, True), (passage + text(90), passage + text(90), False)]
+    most = "cast(floor(0.2 * greatest(length(a), length(b)) + 1e-9) as int)"
+    ask = lambda df: df.select("a", "b", lines.ends_allow("a", "b", most, begin=True), lines.ends_allow("a", "b", most, begin=False), lines.similar("a", "b")).collect()
+    within = [(distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9), *r[2:]) for a, b, *r in ((r[0], r[1], *r) for r in ask(spark.createDataFrame(near, "a string, b string")))]
+    assert sum(w for w, *_ in within) > 30 and all(s == w and (not w or (x and y)) for w, x, y, s in within)
+    for at in (True, False):
+        got = ask(spark.createDataFrame([(a, b) for a, b, begin in far if begin == at], "a string, b string"))
+        assert not any(r[2 if at else 3] for r in got) and all(r[3 if at else 2] for r in got) and not any(r[4] for r in got)
+
+
 def test_near_lines_of_unlike_words_are_compared(spark):
     """Lines with a block in common are compared however many of their other words have a changed letter."""
     words = ["".join(chr(97 + (7 * i + 3 * j * j) % 26) for j in range(9)) + "abc"[i % 3] * (i // 26) for i in range(60)]
